@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nearkin.llm import bpe, exact_dedup, packing, sharding, token_counts, token_output, topk_search
+from nearkin.llm import bpe, exact_dedup, packing, sharding, simhash, token_counts, token_output, topk_search
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op6_token_output": token_output.op6_token_output,
     "op7_bpe": bpe.op7_bpe,
     "op8_topk_search": topk_search.op8_topk_search,
