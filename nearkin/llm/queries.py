@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from nearkin.llm import bpe, exact_dedup, packing, sharding, simhash, token_counts, token_output, topk_search
+import corpus_pipeline
+from nearkin.llm import bpe, exact_dedup, language_id, packing, sharding, simhash, token_counts, token_output, topk_search
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_output": token_output.op6_token_output,
@@ -13,6 +15,8 @@ QUERIES = {
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "pages_language_id": language_id.pages_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
