@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from nearkin.llm import bpe, exact_dedup, language_id, packing, sharding, simhash, token_counts, token_output, topk_search
+from nearkin.llm import bpe, exact_dedup, language_id, license_scan, packing, sharding, simhash, token_counts, token_output, topk_search
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
@@ -20,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": license_scan.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op8_topk_search": topk_search.OP8_SQL,
 }
