@@ -188,9 +188,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decoding(path), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
+def round_tripping(path: str):
+    encoded, decoded = encoding(path), decoding(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from decoded(encoded(batches))
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one Python worker, with one copy of the tables."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(round_tripping(path), "doc_id long, n_tokens long, ids binary, decoded string")
+
+
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode(encode(docs, path), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
