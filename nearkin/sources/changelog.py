@@ -83,6 +83,8 @@ def replay(log: DataFrame, config: EngineConfig, base: dict[str, DataFrame] | No
     earlier = base.get("events")
     whole = earlier.unionByName(events) if earlier is not None else events
     edges, start = base.get("edges"), 0
+    if earlier is not None:  # what the snapshot's edges hold already
+        start = earlier.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     stops = [r["seq"] for r in log.where("op = 'MAINTAIN'").select("seq").orderBy("seq").collect()]
     for cycle, stop in enumerate([*stops, None], 1):
         part = new_edges(whole, config, start, stop)
