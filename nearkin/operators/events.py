@@ -97,7 +97,8 @@ def arrival_rank(events: DataFrame, span: int = RANK_SPAN) -> DataFrame:
     A context is ranked in stretches of the arrival order and the stretches'
     counts are added up, so a context with most of the rows is no single task.
     """
-    cut = events.withColumn("__span", F.floor(F.col("seq") / span))
+    # dealt once here: counts, ranks and every later use share this exchange
+    cut = events.withColumn("__span", F.floor(F.col("seq") / span)).repartition("ctx", "__span")
     counts = cut.groupBy("ctx", "__span").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("ctx").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("ctx", "__span", F.coalesce(before, F.lit(0)).alias("__before"))
