@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text handled at once in a task (one longer text is a slice alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Entries of each of the cache's two generations.
-CACHE_ROOM = 200_000
+CACHE_ROOM = 120_000
 #: Longer keys are worked out each time and not kept.
 CACHE_KEY = 64
 
@@ -147,17 +147,19 @@ class Gatherer:
         return edges[first], edges[first + number] - edges[first], out
 
 
-def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batch: pa.RecordBatch, text: int = 1, size: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch of about ``SLICE_BYTES`` of text each, and their texts."""
+    size = size or SLICE_BYTES
     if not batch.num_rows:
         return
     texts = pc.fill_null(batch.column(text), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 class PieceEncoder:

@@ -47,6 +47,8 @@ SMOOTHING = 20.0
 UND_PRIOR = 1e-4
 MIN_POSTERIOR = 0.5
 BITS = 20
+#: Bytes of text whose pairs are spread out at once.
+SPREAD_BYTES = 1 << 20
 
 BREAKS = np.isin(np.arange(256), [*range(0, 97), *range(123, 128)])  # no letter, in lower case
 
@@ -80,7 +82,7 @@ def counting(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << 16), np.int64)
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, size=SPREAD_BYTES):
                 pairs, n, _ = pair_codes(texts)
                 which = np.repeat(np.array([number[x] for x in part.column(0).to_pylist()]), n)
                 total += np.bincount(which << 16 | pairs, minlength=total.size).reshape(total.shape)
@@ -113,7 +115,7 @@ def scoring(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            for part, texts in slices(batch, batch.num_columns - 1):
+            for part, texts in slices(batch, batch.num_columns - 1, SPREAD_BYTES):
                 pairs, n, letters = pair_codes(texts)
                 total = np.zeros((len(n), table.shape[1] + 1))
                 some = np.flatnonzero(n)
