@@ -174,7 +174,8 @@ def identify(docs: DataFrame, models: Models, declared: Column, host: Column, su
     suffix_shares = log_shares(F.col("suffix_counts"), shares)
     by_suffix = suffixes.select("suffix", suffix_shares.alias("suffix_shares"))
     by_host = hosts.groupBy("host").agg(F.min_by("suffix", "suffix").alias("suffix"), add.alias("counts")).join(by_suffix, "suffix", "left")
-    by_host = by_host.select("host", log_shares(F.col("counts"), F.coalesce("suffix_shares", shares)).alias("host_shares"))
+    # written, so that the join's both sides are plain exchanges and a hot host's can be split
+    by_host = work.table(by_host.select("host", log_shares(F.col("counts"), F.coalesce("suffix_shares", shares)).alias("host_shares")), "shares")
     joined = scored.join(by_suffix, "suffix", "left").join(by_host, "host", "left")
     prior = F.coalesce("host_shares", "suffix_shares", shares)
     tell = F.coalesce(evidence[F.col("declared")], F.array(*(F.lit(0.0) for _ in range(k))))
