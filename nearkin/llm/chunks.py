@@ -6,8 +6,9 @@ a slice are looked up in a bounded cache, and a text's values are gathered from
 those of its chunks. Only chunks that are not in the cache are worked out.
 
 ``byte`` tokenizers (byte-level, white space kept) are cut between a character
-that isn't white space and white space after it; ``word`` tokenizers (white
-space dropped) at spaces and newlines. Both cuts are exact for any text.
+that isn't white space and white space after it, and before a comma or stop
+that follows a letter or digit; ``word`` tokenizers (white space dropped) at
+spaces and newlines. All cuts are exact for any text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import regex
 SLICE_BYTES = 4 << 20
 #: Entries of each of the cache's two generations.
 CACHE_ROOM = 120_000
+#: The same for a byte tokenizer's ids, which have no second cache of pieces.
+BYTE_ROOM = 350_000
 #: Longer keys are worked out each time and not kept.
 CACHE_KEY = 64
 
@@ -102,16 +105,17 @@ class Cache:
                 if len(keys[i]) <= CACHE_KEY:
                     self.young[keys[i]] = v
         if len(self.young) > self.room:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young if self.room else {}, {}
         return found
 
 
 class Gatherer:
     """Values of whole texts from the values of their chunks."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], dtype, kind: str, special: list[str] = ()):
-        self.cache, self.dtype, self.kind = Cache(make), np.dtype(dtype), kind
+    def __init__(self, make: Callable[[list[str]], list[bytes]], dtype, kind: str, special: list[str] = (), room: int = CACHE_ROOM):
+        self.cache, self.dtype, self.kind = Cache(make, room), np.dtype(dtype), kind
         odd = [rf"[{WHITE}]{{2}}", r"[\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]"]
+        odd.append(r"[^\p{L}\p{N}][,.]")  # here a stop is no piece's start
         self.odd = "|".join([*odd, *(re.escape(s) for s in special)])
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -122,7 +126,9 @@ class Gatherer:
             return lists.flatten(), edges[:-1] - edges[0], np.diff(edges)
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
-        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, "\n", "\0\n\0"), " ", "\0 "), "\0")
+        for at, cut in (("\n", "\0\n\0"), (" ", "\0 "), (",", "\0,"), (".", "\0.")):
+            plain = pc.replace_substring(plain, at, cut)
+        lists = pc.split_pattern(plain, "\0")
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges = edges - edges[0]
         first, number = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -170,7 +176,11 @@ class PieceEncoder:
         self.tokenizer = load(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.special = list(added_tokens(path))
-        self.memo = Cache(lambda new: [np.array([t.id for t in self.tokenize(spelled(p))], "<u4").tobytes() for p in new])
+        # a byte tokenizer's chunk is a piece as a rule, and is kept as a chunk
+        self.memo = Cache(self.of_pieces, CACHE_ROOM if kind == "word" else 0)
+
+    def of_pieces(self, new: list[str]) -> list[bytes]:
+        return [np.array([t.id for t in self.tokenize(spelled(p))], "<u4").tobytes() for p in new]
 
     def whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -197,4 +207,4 @@ class PieceEncoder:
 def encoder(path: str, kind: str) -> Gatherer:
     """The task's encoder, kept while its Python worker lives."""
     make = PieceEncoder(path, kind)
-    return Gatherer(make, "<u4", kind, make.special)
+    return Gatherer(make, "<u4", kind, make.special, BYTE_ROOM if kind == "byte" else CACHE_ROOM)
