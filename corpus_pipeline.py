@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearkin.llm import exact_dedup, language_id, packing, simhash
+from nearkin.llm import exact_dedup, language_id, near_copies, packing
 from nearkin.llm.shared import Workspace, remove_rows, text_key
 
 
@@ -28,9 +28,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near fingerprints: the smallest id."""
+    """Keeps one row of each component of near copies (five words, 0.8 alike): the smallest id."""
     work = Workspace(spark, "pipeline-near")
-    found = simhash.near_duplicates(docs, work=work)
+    found = near_copies.near_copies(docs, work=work)
     return without(docs, found, F.col("doc_id").eqNullSafe(F.col("component_id")), work)
 
 

@@ -57,10 +57,11 @@ CANDIDATES = 1 << 11
 SPREAD = 1 << 14
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's shingles, with repeats; none without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     length = np.fromiter(map(len, words), np.int64, len(words))
@@ -68,12 +69,19 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     starts = (ends - length)[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8", n)
+    return np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8", n)
+
+
+def print_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, SPREAD):
+    for at in range(0, len(hashes), SPREAD):
         bits = np.unpackbits(hashes[at : at + SPREAD].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return print_of(shingle_hashes(text, shingle, seed))
 
 
 def fingerprinting(shingle: int, seed: int):
