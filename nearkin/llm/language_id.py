@@ -36,17 +36,19 @@ from pyspark.sql import functions as F
 from nearkin.llm.chunks import slices
 from nearkin.llm.shared import Workspace, remove_rows, text_key, text_of
 
-#: Labelled rows that the text models are fitted on, about, at most.
+#: Labelled rows that the text models are fitted on, about, at most; each costs a task 256 KB a label.
 SAMPLE_ROWS = 20_000
-#: Labels at most, the commonest; each costs 256 KB in a task.
-MAX_LANGUAGES = 64
+#: Of any label at least so many, or all its rows.
+LABEL_ROWS = 20
 #: Byte pairs that text evidence counts for at most: neighbours aren't independent.
 EVIDENCE = 120
 #: Weight, in rows, of what a host's or suffix's counts are smoothed towards.
 SMOOTHING = 20.0
 UND_PRIOR = 1e-4
 MIN_POSTERIOR = 0.5
-BITS = 20
+BITS = 40
+#: Counts of byte pairs that a task holds before it adds up equal ones.
+HELD_COUNTS = 1 << 21
 #: Bytes of text whose pairs are spread out at once.
 SPREAD_BYTES = 1 << 20
 
@@ -79,36 +81,59 @@ def pair_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def counting(languages: list[str]):
     number = {v: i for i, v in enumerate(languages)}
 
+    def add(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << 16), np.int64)
+        codes, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for batch in batches:
             for part, texts in slices(batch, size=SPREAD_BYTES):
                 pairs, n, _ = pair_codes(texts)
-                which = np.repeat(np.array([number[x] for x in part.column(0).to_pylist()]), n)
-                total += np.bincount(which << 16 | pairs, minlength=total.size).reshape(total.shape)
-        at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at], pa.int64())], names=["language", "pair", "n"])
+                which = np.repeat(np.array([number[x] for x in part.column(0).to_pylist()], np.int64), n)
+                code, count = np.unique(which << 16 | pairs, return_counts=True)
+                codes.append(code)
+                counts.append(count)
+                held += len(code)
+                if held > HELD_COUNTS:
+                    code, count = add(codes, counts)
+                    codes, counts, held = [code], [count], 0
+        code, count = add(codes, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(code >> 16, pa.int32()), pa.array(code & 0xFFFF, pa.int32()), pa.array(count, pa.int64())], names=["language", "pair", "n"])
 
     return run
 
 
+def rows_each(counts: list[int], rows: int) -> int:
+    """How many of each label: all of what is rarer, and ``rows`` in all."""
+    each, left = rows, rows
+    for i, n in enumerate(sorted(counts)):
+        each = left // (len(counts) - i)
+        if n > each:
+            break
+        left -= n
+    return max(each, LABEL_ROWS)
+
+
 def fit(docs: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Models:
-    """Text models from a sample of labelled rows, chosen by a hash of the id."""
+    """Text models from a sample of every label's rows, chosen by a hash of the id."""
     labelled = docs.select(F.lower(docs[label_col].cast("string")).alias("label"), text_of(docs, text_col).alias("text"), F.xxhash64(docs[id_col]).alias("h")).where("label is not null and label <> ''")
-    common = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in common)
+    seen = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    languages = sorted(seen)
     if not languages:
         return Models([], np.zeros((1 << 16, 0), np.float32))
-    share = min(1.0, sample_rows / sum(r["count"] for r in common))
-    sample = labelled.where(F.col("label").isin(languages) & (F.pmod("h", F.lit(1 << BITS)) < F.lit(int(share * (1 << BITS)))))
-    rows = sample.select("label", "text").mapInArrow(counting(languages), "language int, pair int, n long").groupBy("language", "pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((len(languages), 256, 256))
-    for r in rows:
-        counts[r["language"], r["pair"] >> 8, r["pair"] & 255] = r["n"]
-    second = counts.sum(axis=1, keepdims=True) + 0.05
-    second /= second.sum(axis=2, keepdims=True)
-    table = np.log((counts + 5.0 * second) / (counts.sum(axis=2, keepdims=True) + 5.0))
-    return Models(languages, np.ascontiguousarray(table.reshape(len(languages), -1).T.astype(np.float32)))
+    each = rows_each(list(seen.values()), sample_rows)
+    limits = docs.sparkSession.createDataFrame([(x, int(min(1.0, each / n) * (1 << BITS))) for x, n in seen.items()], "label string, limit long")
+    sample = labelled.join(F.broadcast(limits), "label").where(F.pmod("h", F.lit(1 << BITS)) < F.col("limit"))
+    found = sample.select("label", "text").mapInArrow(counting(languages), "language int, pair int, n long").groupBy("language", "pair").agg(F.sum("n").alias("n")).toArrow()
+    which, pair, n = (found.column(c).to_numpy() for c in ("language", "pair", "n"))
+    table = np.empty((1 << 16, len(languages)), np.float32)
+    for i in range(len(languages)):
+        counts = np.bincount(pair[which == i], n[which == i], 1 << 16).reshape(256, 256)
+        second = counts.sum(axis=0, keepdims=True) + 0.05
+        second /= second.sum()
+        table[:, i] = np.log((counts + 5.0 * second) / (counts.sum(axis=1, keepdims=True) + 5.0)).ravel()
+    return Models(languages, table)
 
 
 def scoring(held):
@@ -159,26 +184,33 @@ def identify(docs: DataFrame, models: Models, declared: Column, host: Column, su
     if not k:
         return scored.select("doc_id", "text_key", F.lit("und").alias("language"), F.lit(1.0).alias("posterior"), F.lit("und").alias("text_language"), "declared", F.lit(True).alias("rejected"))
 
-    each = F.array(*(F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) for i in range(k)))
-    hosts = work.table(scored.where("best is not null and host is not null").groupBy("host", "suffix").agg(each.alias("counts")), "hosts")
-    add = F.array(*(F.sum(F.col("counts")[i]) for i in range(k)))
-    suffixes = scored.where("best is not null").groupBy("suffix").agg(each.alias("suffix_counts"))
-    suffixes = work.table(suffixes, "suffixes")
-    whole = suffixes.agg(F.array(*(F.sum(F.col("suffix_counts")[i]) for i in range(k))).alias("c")).first()["c"]
-    whole = [(c or 0.0) + 1.0 for c in whole]
+    # sparse up to here, so that many languages aren't as many aggregates
+    counts = work.table(scored.where("best is not null").groupBy("host", "suffix", "best").agg(F.count(F.lit(1)).cast("double").alias("n")), "counts")
+
+    def dense(rows: DataFrame, key: str) -> DataFrame:
+        held = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("held"))
+        return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0))).alias("counts"))
+
+    suffixes = dense(counts.groupBy("suffix", "best").agg(F.sum("n").alias("n")), "suffix")
+    suffixes = work.table(suffixes.withColumnRenamed("counts", "suffix_counts"), "suffixes")
+    of_hosts = counts.where("host is not null")
+    hosts = dense(of_hosts.groupBy("host", "best").agg(F.sum("n").alias("n")), "host").join(of_hosts.groupBy("host").agg(F.min("suffix").alias("suffix")), "host")
+    seen = {r["best"]: r["n"] for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}
+    whole = [seen.get(i, 0.0) + 1.0 for i in range(k)]
     shares = F.array(*(F.lit(c / sum(whole)) for c in whole))
     said = {(r["declared"], r["best"]): r["count"] for r in scored.where("best is not null and declared is not null").groupBy("declared", "best").count().collect()}
     told = [sum(said.get((d, i), 0) for d in models.languages) for i in range(k)]
-    evidence = F.create_map(*(x for d in models.languages for x in (F.lit(d), F.array(*(F.lit(float(np.log((said.get((d, i), 0) + 1.0) / (told[i] + k)))) for i in range(k))))))
+    evidence = [(d, [float(np.log((said.get((d, i), 0) + 1.0) / (told[i] + k))) for i in range(k)]) for d in models.languages]
+    evidence = F.broadcast(spark.createDataFrame(evidence, "declared string, tell array<double>"))
 
     suffix_shares = log_shares(F.col("suffix_counts"), shares)
     by_suffix = suffixes.select("suffix", suffix_shares.alias("suffix_shares"))
-    by_host = hosts.groupBy("host").agg(F.min_by("suffix", "suffix").alias("suffix"), add.alias("counts")).join(by_suffix, "suffix", "left")
+    by_host = hosts.join(by_suffix, "suffix", "left")
     # written, so that the join's both sides are plain exchanges and a hot host's can be split
     by_host = work.table(by_host.select("host", log_shares(F.col("counts"), F.coalesce("suffix_shares", shares)).alias("host_shares")), "shares")
-    joined = scored.join(by_suffix, "suffix", "left").join(by_host, "host", "left")
+    joined = scored.join(by_suffix, "suffix", "left").join(by_host, "host", "left").join(evidence, "declared", "left")
     prior = F.coalesce("host_shares", "suffix_shares", shares)
-    tell = F.coalesce(evidence[F.col("declared")], F.array(*(F.lit(0.0) for _ in range(k))))
+    tell = F.coalesce("tell", F.array(*(F.lit(0.0) for _ in range(k))))
     fused = F.zip_with(F.zip_with(F.slice("text", 1, k), F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b), tell, lambda a, b: a + b)
     unknown = F.element_at("text", k + 1) + F.lit(float(np.log(UND_PRIOR))) + F.when(F.col("declared").isNotNull(), F.lit(float(-np.log(k)))).otherwise(0.0)
     logs = joined.withColumn("logs", F.concat(fused, F.array(unknown))).withColumn("top", F.array_max("logs"))

@@ -231,3 +231,22 @@ def test_pages(spark):
     rows.append((99, "not an address", "<p>" + WORDS["fr"] + "</p>"))
     found = {r.doc_id: r for r in language_id.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(found[i].language == url.split(".")[1] for i, url, _ in rows[:80]) and found[99].language == "fr" and found[99].declared is None
+
+
+def test_more_languages_than_64(spark):
+    rnd = random.Random(8)
+    labels = [a + b for a in "bcdfghjk" for b in "aeiouvwxyz"]
+    made = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for x in labels}
+    rows = [(i, " ".join(rnd.choice(made[x]) for _ in range(40)), x, x, 1) for i, x in enumerate(labels * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in language_id.identify_documents(docs).collect()}
+    assert all((found[i].language, found[i].declared, found[i].rejected) == (x, x, False) for i, _, x, *_ in rows)
+
+
+def test_rare_labels_are_sampled(spark):
+    assert language_id.rows_each([10**9, 10**9, 500], 20_000) == 9750 and language_id.rows_each([5, 7], 20_000) > 7
+    rows = [(i, WORDS["en"], "en") for i in range(2000)] + [(5000 + i, WORDS["de"], "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.fit(docs, "lang", sample_rows=50)
+    pair = ord("d") << 8 | ord("e")
+    assert models.languages == ["de", "en"] and models.table[pair, 0] > models.table[pair, 1]
