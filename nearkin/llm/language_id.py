@@ -104,6 +104,12 @@ def counting(languages: list[str]):
     return run
 
 
+def primary(tag: Column) -> Column:
+    """A language tag's first subtag: its leading letters in lower case, null if none."""
+    found = F.lower(F.regexp_extract(tag.cast("string"), r"^\s*(\p{L}+)", 1))
+    return F.when(found != "", found)
+
+
 def rows_each(counts: list[int], rows: int) -> int:
     """How many of each label: all of what is rarer, and ``rows`` in all."""
     each, left = rows, rows
@@ -117,7 +123,7 @@ def rows_each(counts: list[int], rows: int) -> int:
 
 def fit(docs: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Models:
     """Text models from a sample of every label's rows, chosen by a hash of the id."""
-    labelled = docs.select(F.lower(docs[label_col].cast("string")).alias("label"), text_of(docs, text_col).alias("text"), F.xxhash64(docs[id_col]).alias("h")).where("label is not null and label <> ''")
+    labelled = docs.select(primary(docs[label_col]).alias("label"), text_of(docs, text_col).alias("text"), F.xxhash64(docs[id_col]).alias("h")).where("label is not null")
     seen = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     languages = sorted(seen)
     if not languages:
@@ -168,7 +174,7 @@ def identify(docs: DataFrame, models: Models, declared: Column, host: Column, su
     work = work or Workspace(spark, "language")
     names = [*models.languages, "und"]
     k = len(models.languages)
-    known = F.lower(F.regexp_extract(declared.cast("string"), "^([A-Za-z]+)", 1))
+    known = primary(declared)
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         text_key(docs, text_col).alias("text_key"),
@@ -238,7 +244,7 @@ def identify_pages(pages: DataFrame) -> DataFrame:
     markup = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&\w+;", " ")
     host = F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), F.when(markup != "", F.lower(F.substring(markup, 1, 2))).alias("lang"), F.when(host != "", host).alias("host"))
+    rows = pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), primary(markup).alias("lang"), F.when(host != "", host).alias("host"))
     return identify(rows, fit(rows, "lang"), rows["lang"], rows["host"], F.regexp_extract(rows["host"], r"\.([a-z0-9-]+)$", 1))
 
 

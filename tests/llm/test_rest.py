@@ -250,3 +250,16 @@ def test_rare_labels_are_sampled(spark):
     models = language_id.fit(docs, "lang", sample_rows=50)
     pair = ord("d") << 8 | ord("e")
     assert models.languages == ["de", "en"] and models.table[pair, 0] > models.table[pair, 1]
+
+
+def test_tags_agree(spark):
+    docs = corpus(spark, 90, 12).withColumn("lang", F.concat("lang", F.when(F.col("doc_id") % 2 == 0, "-XX").otherwise("_Latn")))
+    assert language_id.fit(docs, "lang").languages == ["de", "en", "fr"]
+    truth = {r.doc_id: r.truth for r in docs.collect()}
+    assert {r.doc_id: r.declared for r in language_id.identify_documents(docs).collect()} == truth
+
+
+def test_pages_keep_three_letter_codes(spark):
+    rows = [(i, f"https://{x}.example/{i}", f'<html lang="{x}-PH"><p>{" ".join([WORDS[w]] * 2)}</p></html>') for i, (x, w) in enumerate([("fil", "fr"), ("fi", "de")] * 20)]
+    found = language_id.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.doc_id % 2, r.declared, r.language) for r in found} == {(0, "fil", "fil"), (1, "fi", "fi")}
