@@ -7,12 +7,14 @@ those of its chunks. Only chunks that are not in the cache are worked out.
 
 ``byte`` tokenizers (byte-level, white space kept) are cut between a character
 that isn't white space and white space after it, and before a comma or stop
-that follows a letter or digit; ``word`` tokenizers (white space dropped) at
-spaces and newlines. All cuts are exact for any text.
+that follows a letter or digit; ``word`` tokenizers (small letters, white space
+dropped) at white space and before such a comma or stop. All cuts are exact for
+any text.
 """
 
 from __future__ import annotations
 
+import copy
 import functools
 import os
 import re
@@ -27,8 +29,10 @@ import regex
 SLICE_BYTES = 4 << 20
 #: Entries of each of the cache's two generations.
 CACHE_ROOM = 120_000
-#: The same for a byte tokenizer's ids, which have no second cache of pieces.
-BYTE_ROOM = 350_000
+#: The same for the library's ids, which have no second cache of pieces.
+IDS_ROOM = 350_000
+#: Chunks that the library encodes as one text.
+JOINED = 200
 #: Longer keys are worked out each time and not kept.
 CACHE_KEY = 64
 
@@ -39,6 +43,8 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Digits and letters that no normaliser turns into anything but letters.
+STAYS = "0-9A-Za-zÀ-ÖØ-öø-įı-ʯͰ-ͳͶͷͻ-ͽΆΈ-ΊΌΎ-ΡΣ-ϵϷ-ҁҊ-ӿ"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Latin letters for which the built-in ``re`` gives the same pieces faster.
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ƺ"
@@ -116,24 +122,28 @@ class Gatherer:
         self.cache, self.dtype, self.kind = Cache(make, room), np.dtype(dtype), kind
         odd = [rf"[{WHITE}]{{2}}", r"[\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]"]
         odd.append(r"[^\p{L}\p{N}][,.]")  # here a stop is no piece's start
-        self.odd = "|".join([*odd, *(re.escape(s) for s in special)])
+        if kind == "word":  # marks may compose otherwise once letters are small
+            odd = [r"\p{M}", f"[^{STAYS}][,.]"]
+        self.odd = "|".join([*odd, *(f"(?i:{re.escape(s)})" for s in special)])
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """All chunks, each text's first chunk and its number of chunks."""
-        if self.kind == "word":
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-            edges = lists.offsets.to_numpy().astype(np.int64)
-            return lists.flatten(), edges[:-1] - edges[0], np.diff(edges)
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
-        for at, cut in (("\n", "\0\n\0"), (" ", "\0 "), (",", "\0,"), (".", "\0.")):
+        if self.kind == "word":
+            plain, between, find = pc.ascii_lower(plain), " ", lambda t: t.replace("\n", " ").split(" ")
+            cuts = (("\n", " "), (",", " ,"), (".", " ."))
+        else:
+            between, find = "\0", CHUNK.findall
+            cuts = (("\n", "\0\n\0"), (" ", "\0 "), (",", "\0,"), (".", "\0."))
+        for at, cut in cuts:
             plain = pc.replace_substring(plain, at, cut)
-        lists = pc.split_pattern(plain, "\0")
+        lists = pc.split_pattern(plain, between)
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges = edges - edges[0]
         first, number = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         first[~odd], number[~odd] = edges[:-1], np.diff(edges)
-        more = [CHUNK.findall(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        more = [find(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         number[odd] = n = np.fromiter(map(len, more), np.int64, len(more))
         first[odd] = edges[-1] + np.cumsum(n) - n
         return pa.concat_arrays([lists.flatten(), pa.array([c for m in more for c in m], lists.type.value_type)]), first, number
@@ -143,7 +153,7 @@ class Gatherer:
         chunks, first, number = self.cut(texts)
         coded = chunks.dictionary_encode()
         index = coded.indices.to_numpy()
-        made = self.cache.get_many(coded.dictionary.to_pylist())
+        made = self.cache.get_many(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
         values = np.frombuffer(b"".join(made), self.dtype)
         lengths = size[index]
@@ -168,43 +178,49 @@ def slices(batch: pa.RecordBatch, text: int = 1, size: int | None = None) -> Ite
     pa.default_memory_pool().release_unused()
 
 
-class PieceEncoder:
-    """Token ids of chunks by the tokenizers library, a piece at a time."""
+class Library:
+    """Token ids of chunks by the tokenizers library, many in one call.
 
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    The chunks are joined by an added token's string, which the library takes
+    out before anything else, so each is encoded as if it stood alone.
+    """
+
+    def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.tokenize = self.tokenizer.model.tokenize
         self.special = list(added_tokens(path))
-        # a byte tokenizer's chunk is a piece as a rule, and is kept as a chunk
-        self.memo = Cache(self.of_pieces, CACHE_ROOM if kind == "word" else 0)
-
-    def of_pieces(self, new: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in self.tokenize(spelled(p))], "<u4").tobytes() for p in new]
-
-    def whole(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    #: Lower-cased, composed Latin-1 text: here the normaliser only lower-cases.
-    SIMPLE = re.compile("[!-~¡-ÿ]*")
-    SIMPLE_PIECE = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-
-    def split(self, chunk: str) -> list[str] | None:
-        if any(s in chunk for s in self.special):
-            return None
-        if self.kind == "byte":
-            return pieces(chunk)
-        return self.SIMPLE_PIECE.findall(chunk.lower()) if self.SIMPLE.fullmatch(chunk) else None
+        alone = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.stop_id, self.stop = alone[-1] if alone else (-1, "")
+        # what its normaliser leaves as it is can do without
+        self.bare = copy.deepcopy(self.tokenizer)
+        self.bare.normalizer = None
+
+    def joined(self, tokenizer, chunks: list[str]) -> list[bytes]:
+        if not self.stop:
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        out: list[bytes] = []
+        texts = [self.stop.join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(ids == self.stop_id)
+            held, ends = ids.tobytes(), (4 * stops).tolist()
+            out += [held[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(held)], strict=True)]
+        return out
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.split(c) for c in chunks]
-        wanted = list(dict.fromkeys(p for q in parts if q is not None for p in q))
-        known = dict(zip(wanted, self.memo.get_many(wanted), strict=True))
-        return [self.whole(c) if q is None else b"".join([known[p] for p in q]) for c, q in zip(chunks, parts, strict=True)]
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, c in enumerate(chunks):
+            kinds[2 if "<" in c and any(s in c for s in self.special) else 0 if c.isascii() and c == c.lower() else 1].append(i)
+        out: list[bytes] = [b""] * len(chunks)
+        for tokenizer, places in zip((self.bare, self.tokenizer), kinds, strict=False):
+            for i, ids in zip(places, self.joined(tokenizer, [chunks[i] for i in places]), strict=True):
+                out[i] = ids
+        for i in kinds[2]:
+            out[i] = np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> Gatherer:
     """The task's encoder, kept while its Python worker lives."""
-    make = PieceEncoder(path, kind)
-    return Gatherer(make, "<u4", kind, make.special, BYTE_ROOM if kind == "byte" else CACHE_ROOM)
+    make = Library(path)
+    return Gatherer(make, "<u4", kind, make.special, IDS_ROOM)
