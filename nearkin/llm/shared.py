@@ -1,7 +1,8 @@
 """Folder shared by driver and executors, and small relational helpers.
 
-Every table that cuts lineage is written below ``spark.checkpoint.dir``. Only
-where that setting is absent (tests, notebooks) a local folder stands in.
+Every table that cuts lineage is written below ``spark.checkpoint.dir``. Where
+that setting is absent a local folder stands in if the master is local too (tests,
+notebooks); on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -22,17 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="nearkin-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 class Workspace:
-    """A fresh subfolder of the shared folder, holding one run's tables."""
+    """A fresh subfolder of the shared folder, holding one run's tables.
 
-    def __init__(self, spark: SparkSession, name: str):
+    It goes when the session's file system closes, unless it is to be kept.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/nearkin/{name}-{uuid.uuid4().hex}"
+        if not keep:
+            target, files = self.place()
+            files.deleteOnExit(target)
+
+    def place(self, name: str = ""):
+        """(path, file system) of the folder or of one of its tables."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return it reread: a restart point that outlives executors."""
@@ -47,8 +61,8 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = self.place(name)
+        files.delete(target, True)
 
 
 def text_of(docs: DataFrame, text_col: str = "text") -> Column:
@@ -73,11 +87,20 @@ def remove_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     ``BROADCAST_ROWS`` it is broadcast and the texts stay where they are;
     beyond, both sides are shuffled on the id.
     """
-    gone = dropped.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    same = docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (text_key(docs) == gone["__gone_key"])
-    return docs.join(gone, same, "left_anti")
+    return named_rows(docs, dropped, "left_anti")
+
+
+def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are named in ``kept``, a written table too."""
+    return named_rows(docs, kept, "left_semi")
+
+
+def named_rows(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    names = names.select(F.col("doc_id").alias("__named_id"), F.col("text_key").alias("__named_key"))
+    if names.count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    same = docs["doc_id"].eqNullSafe(names["__named_id"]) & (text_key(docs) == names["__named_key"])
+    return docs.join(names, same, how)
 
 
 def exclusive_prefix(counts: DataFrame, key: str, amount: str, out: str) -> DataFrame:
