@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from nearkin.llm import exact_dedup, simhash
 from nearkin.llm.shared import Workspace, exclusive_prefix
 
@@ -47,6 +49,29 @@ def test_exact_dedup_of_many_copies(frame):
     assert shape(exact_dedup.exact_dedup(frame(rows), bucket_keys=5)) == brute_exact(rows)
 
 
+def test_colliding_keys_are_chained(odd):
+    rows = exact_dedup.exact_dedup(odd, bucket_keys=2, key_of=lambda t: F.lit(7).cast("long"))
+    assert shape(rows) == brute_exact(ODD)
+    _, index = exact_dedup.exact_groups(odd, bucket_keys=2, key_of=lambda t: F.pmod(F.length(t), F.lit(3)).cast("long"))
+    chains = {}
+    for r in index.collect():
+        chains.setdefault(r.key, []).append((r.link, bytes(r.sha)))
+    texts = {t or "" for _, t in ODD}
+    assert sorted(x for c in chains.values() for _, x in c) == sorted(hashlib.sha256(t.encode()).digest() for t in texts)
+    assert all(sorted(n for n, _ in c) == list(range(1, len(c) + 1)) for c in chains.values()) and max(map(len, chains.values())) > 1
+
+
+def test_the_index_has_many_buckets_in_order(spark, frame):
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    entries, index = exact_dedup.exact_groups(frame(rows), bucket_keys=32)
+    found = index.collect()
+    assert len(found) == 700 and len({r.bucket for r in found}) > 16
+    assert all(n <= 32 for n in Counter(r.bucket for r in found).values())
+    unsigned = sorted((r.key % (1 << 64), r.bucket) for r in found)
+    assert [b for _, b in unsigned] == sorted(b for _, b in unsigned)
+    assert {(r.key, r.bucket) for r in entries.collect()} == {(r.key, r.bucket) for r in found}
+
+
 def test_exact_dedup_of_nothing(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
