@@ -13,18 +13,24 @@ task's memory; neither side is broadcast unless the planner finds it small.
 
 Defined results: vectors that are null or hold null, NaN or infinite components
 take no part, nor do rows without an id; missing trailing components count as
-zero; an empty vector scores zero; a row is never its own query's answer, nor
-is another row with the same id; of equal scores the smaller id comes first and
-repeated rows each take a rank. Sums that could pass 63 bits are done in Python
+zero; an empty vector scores zero; a row is never its own query's answer, but
+another row with the same id is; query rows with the same id, repeated ones too,
+each have their own ranks from 1; of equal scores the smaller id comes first and
+repeated rows each take a rank; an empty table, or one without able rows, gives
+an empty result, and very long vectors only make blocks larger; other columns
+are never looked at. As rows with the same id and weights give the same answer
+lines, which of them is the query's own doesn't matter: one is left out. Sums that could pass 63 bits are done in Python
 integers and then must fit a long.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +48,8 @@ def quantise(values: np.ndarray) -> np.ndarray:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, vector) rows to blocks: ids, lengths and float64 components."""
+    """(id, vector) rows to blocks: number, ids, lengths and float64 components."""
+    number = itertools.count(TaskContext.get().partitionId() << 24)
     ids: list[np.ndarray] = []
     lens: list[np.ndarray] = []
     data: list[np.ndarray] = []
@@ -52,7 +59,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], np.cumsum(n)])
         v = np.concatenate([v[starts[o] : starts[o + 1]] for o in order]) if len(order) else v
         return pa.RecordBatch.from_arrays(
-            [pa.array([x.tobytes()], pa.binary()) for x in (i[order].astype("<i8"), n[order].astype("<i4"), v.astype("<f8"))], names=["ids", "lens", "data"]
+            [pa.array([next(number)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (i[order].astype("<i8"), n[order].astype("<i4"), v.astype("<f8")))], names=["number", "ids", "lens", "data"]
         )
 
     def drain(last: bool):
@@ -83,7 +90,8 @@ class Block:
     def __init__(self, ids: bytes, lens: bytes, data: bytes):
         self.ids = np.frombuffer(ids, "<i8")
         n = np.frombuffer(lens, "<i4").astype(np.int64)
-        values = quantise(np.frombuffer(data, "<f8"))
+        self.values = values = quantise(np.frombuffer(data, "<f8"))
+        self.ends = np.concatenate([[0], np.cumsum(n)])
         self.row = np.repeat(np.arange(len(n)), n)
         self.term = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
         some = values != 0
@@ -94,6 +102,17 @@ class Block:
         self.edge = np.searchsorted(self.term, np.arange(self.terms + 1))
         self.top = max((abs(int(x)) for x in (self.weight.min(), self.weight.max())), default=0) if len(order) else 0
 
+    def vector(self, row: int) -> np.ndarray:
+        """A row's weights without the zeros at its end."""
+        held = self.values[self.ends[row] : self.ends[row + 1]]
+        some = np.flatnonzero(held)
+        return held[: some[-1] + 1] if len(some) else held[:0]
+
+    def twins(self, item: int, vector: np.ndarray) -> list[int]:
+        """Rows with that id and those weights."""
+        low, high = np.searchsorted(self.ids, [item, item + 1]) if item < np.iinfo(np.int64).max else (np.searchsorted(self.ids, item), len(self.ids))
+        return [r for r in range(low, high) if np.array_equal(self.vector(r), vector)]
+
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.edge[term], self.edge[term + 1]
         return self.row[a:b], self.weight[a:b]
@@ -115,34 +134,41 @@ def accumulate(queries: Block, rows: Block) -> np.ndarray:
     return scores
 
 
-def select(scores: np.ndarray, ids: np.ndarray, query: int, k: int) -> np.ndarray:
-    """Rows of the k best, ties to the smaller id; ``ids`` ascend."""
-    able = np.flatnonzero(ids != query)
-    s = scores[able]
-    if len(able) > k:
-        edge = np.partition(s, len(s) - k)[len(s) - k] if s.dtype != object else sorted(s)[-k]
-        above = able[s > edge]
-        able = np.concatenate([above, able[s == edge][: k - len(above)]])
+def select(scores: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k best, ties to the smaller row."""
+    able = np.arange(len(scores))
+    if len(scores) > k:
+        edge = np.partition(scores, len(scores) - k)[len(scores) - k] if scores.dtype != object else sorted(scores)[-k]
+        above = np.flatnonzero(scores > edge)
+        able = np.concatenate([above, np.flatnonzero(scores == edge)[: k - len(above)]])
     return able
 
 
 def search_blocks(k: int):
+    """(query block, row block) to each query row's k + 1 best, its twins marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[bytes, Block] | None = None
+        kept: tuple[int, Block] | None = None
         for b in batches:
             for i in range(b.num_rows):
-                q = [b.column(c)[i].as_py() for c in range(3)]
-                if kept is None or kept[0] != q[0]:
-                    kept = (q[0], Block(*q))
-                queries, rows = kept[1], Block(*(b.column(c)[i].as_py() for c in range(3, 6)))
+                number, *q = (b.column(c)[i].as_py() for c in range(4))
+                if kept is None or kept[0] != number:
+                    kept = (number, Block(*q))
+                queries, rows = kept[1], Block(*(b.column(c)[i].as_py() for c in range(4, 7)))
                 scores = accumulate(queries, rows)
-                out: list[list] = [[], [], []]
-                for j, query in enumerate(queries.ids):
-                    best = select(scores[:, j], rows.ids, query, k)
-                    out[0].append(np.full(len(best), query))
-                    out[1].append(rows.ids[best])
-                    out[2].append(scores[best, j].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+                out: list[list] = [[], [], [], [], []]
+                for j, query in enumerate(queries.ids.tolist()):
+                    best = select(scores[:, j], k + 1)
+                    out[0].append(np.full(len(best), number * BLOCK + j))
+                    out[1].append(np.full(len(best), query))
+                    out[2].append(rows.ids[best])
+                    twin = np.isin(best, rows.twins(query, queries.vector(j)))
+                    found = scores[best, j]
+                    found[twin] = np.minimum(found[twin], np.iinfo(np.int64).max)
+                    out[3].append(found.astype(np.int64))
+                    out[4].append(twin)
+                kinds = (*[pa.int64()] * 4, pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds, strict=True)], names=["query_row", "query_id", "vec_id", "score", "twin"])
 
     return run
 
@@ -156,12 +182,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         vec = df[vec_col].cast("array<double>")
         bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         able = df.where(vec.isNotNull() & df[id_col].isNotNull() & ~F.coalesce(bad, F.lit(True)))
-        return work.table(able.select(df[id_col].cast("long"), vec).mapInArrow(pack, "ids binary, lens binary, data binary"), name)
+        return work.table(able.select(df[id_col].cast("long"), vec).mapInArrow(pack, "number long, ids binary, lens binary, data binary"), name)
 
     q, c = packed(queries, "queries"), packed(vectors, "candidates")
-    both = q.select(*(F.col(x).alias(f"q_{x}") for x in q.columns)).crossJoin(c)
-    best = both.mapInArrow(search_blocks(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    both = q.select(*(F.col(x).alias(f"q_{x}") for x in q.columns)).crossJoin(c.drop("number"))
+    best = both.mapInArrow(search_blocks(k), "query_row long, query_id long, vec_id long, score long, twin boolean")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", F.desc("twin"))
+    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    twins = F.sum(F.col("twin").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    best = best.withColumn("twins", twins).where("not (twin and twins = 1)")
+    rank = (F.col("place") - F.least("twins", F.lit(1))).cast("int")
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -172,16 +202,16 @@ def op8_topk_search(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.own, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.own <> c.own
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import textwrap
 import zlib
 
 import duckdb
@@ -82,6 +83,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, queries, 5)
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_top_k_of_repeated_query_rows_and_clashing_columns(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, -1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [2.0, 4.0]), (100, [1.0, 2.0, 0.0])]
+    names = ["rank", "score", "query_id", "own", "ids", "twin", "number"]
+    df = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], "vec_id long, embedding array<double>, " + ", ".join(f"{n} int" for n in names))
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            found = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w)), j) for k, (j, w) in enumerate(rows) if k != i)[:4]  # noqa: B905
+            want += [(q, n, j, -s) for n, (s, j) in enumerate(found, 1)]
+    got = topk_search.top_k(df, df.where("vec_id % 100 = 0"), 4)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k_with_large_values_and_few_rows(spark):
     big = float(2**40)
     df = spark.createDataFrame([(0, [big, 1.0]), (1, [0.0, 0.5]), (2, [0.0, -2.0])], "vec_id long, embedding array<double>")
@@ -102,11 +118,10 @@ def slow_scan(text):
         starts += at
         base |= {label} if at else set()
     labels, score = set(base), 1.0 if starts else 0.0
-    for line in low.split("\n"):
-        held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for label, template in license_scan.TEMPLATES:
-            t = set(template.split())
-            share = len(held & t) / len(t)
+    for label, template in license_scan.TEMPLATES:
+        n, t = len(template.split()), set(template.split())
+        for start in range(0, len(words), n):
+            share = len(set(words[start : start + 2 * n]) & t) / len(t)
             if share >= license_scan.THRESHOLD:
                 labels.add(label)
                 score = max(score, share)
@@ -123,6 +138,8 @@ SCANS = [
     (26, "Licensed under CC BY-NC 4.0."),
     (27, " ".join(license_scan.TEMPLATES[6][1].split()[::-1])),
     (28, "xapache license apache licenses"),
+    *((40 + i, "before it " * i + textwrap.fill(t, 60, initial_indent=" * ", subsequent_indent=" * ") + " after it" * 40) for i, (_, t) in enumerate(license_scan.TEMPLATES)),
+    (80, "all of the people had rights, and the table was not reserved for them"),
 ]
 
 
@@ -133,6 +150,13 @@ def test_scan_equals_brute_force(frame, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_wrapped_notices_are_found(frame):
+    rows = [s for s in SCANS if 40 <= s[0] < 80]
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(rows)).collect()}
+    for i, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[40 + i].labels.split(",") and got[40 + i].score == 1.0
+
+
 def test_scan_sql(spark, tmp_path, frame):
     frame([r for r in [*ODD, *SCANS] if r[0] is not None and r[0] != 4], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
