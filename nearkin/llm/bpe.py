@@ -5,7 +5,10 @@ smallest (rank, place) below them, so the root yields the leftmost pair of the
 lowest rank. A merge changes three leaves, and the paths above them are brought
 up to date in logarithmic time, until no pair can be merged. Pieces of about the
 same length are worked on together: the trees are the rows of one array, and
-each step merges once in every row that still has a pair.
+each step merges once in every row that still has a pair. A long piece is worked
+on alone, and a step merges all its pairs of the root's rank from the left: a pair
+that a merge makes has a higher rank, so none of them could have come in between
+(checked for the vocabulary; where it doesn't hold, one pair is merged at a time).
 
 Decoding gathers the bytes of each id from one flat table; bytes that are no
 UTF-8 become the replacement character, as in the library.
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from nearkin.llm.chunks import ALPHABET, Cache, Gatherer, pieces, slices
 from nearkin.llm.shared import id_and_text
 
-#: Leaves of the trees worked on together (one longer piece is worked on alone).
+#: Leaves of the trees worked on together.
 LEAVES = 1 << 19
+#: Bits of the number of leaves from which a piece is worked on alone.
+LONG_BITS = 12
 NONE = np.iinfo(np.int64).max
 
 
@@ -47,6 +52,10 @@ class Bpe:
         self.order = np.argsort(code)
         self.codes = code[self.order]
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        # whether a merge only ever makes pairs of higher ranks than its own
+        last = np.full(len(vocab) + 1, -1, np.int64)
+        last[self.made] = np.arange(len(pairs))
+        self.ascends = bool((np.maximum(last[left], last[right]) < np.arange(len(pairs))).all())
         self.of_byte = np.array([vocab[ALPHABET[b]] for b in range(256)], np.int64)
         self.added = {t["content"]: t["id"] for t in whole["added_tokens"]}
         byte = {c: b for b, c in ALPHABET.items()}
@@ -70,6 +79,10 @@ class Bpe:
         width = np.array([max(1, (len(w) - 1).bit_length()) for w in words])
         for bits in np.unique(width).tolist():
             mine = np.flatnonzero(width == bits)
+            if bits >= LONG_BITS:
+                for i in mine.tolist():
+                    out[i] = self.merge_long(words[i], bits)
+                continue
             rows = max(1, LEAVES >> bits)
             for at in range(0, len(mine), rows):
                 part = mine[at : at + rows]
@@ -126,6 +139,42 @@ class Bpe:
         edges = np.concatenate([[0], np.cumsum(left.sum(axis=1))]).tolist()
         return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def merge_long(self, word: bytes, bits: int) -> bytes:
+        """A long word's ids: all pairs of the root's rank in one step."""
+        n, leaves = len(word), 1 << bits
+        symbol = np.full(leaves + 1, -1, np.int64)
+        symbol[:n] = self.of_byte[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, leaves + 2), np.arange(-1, leaves)
+        tree = np.full(2 * leaves, NONE, np.int64)
+        tree[leaves:] = self.rank(symbol[:-1], symbol[1:])
+        for level in range(bits - 1, -1, -1):
+            a = 1 << level
+            tree[a : 2 * a] = np.minimum(tree[2 * a : 4 * a : 2], tree[2 * a + 1 : 4 * a : 2])
+        while tree[1] != NONE:
+            rank, node = tree[1], np.array([1])
+            for _ in range(bits):  # down to the leaves of the root's rank, from the left
+                node = np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+                node = node[tree[node] == rank] if self.ascends else node[tree[node] == rank][:1]
+            at = node - leaves
+            if len(at) > 1:  # of pairs that share a symbol every other one, from the left
+                fresh = np.r_[True, after[at[:-1]] != at[1:]]
+                run = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                at = at[run % 2 == 0]
+            gone = after[at]
+            symbol[at], symbol[gone] = self.made[rank], -1
+            follows = np.minimum(after[gone], leaves)
+            after[at], before[follows] = follows, at
+            tree[leaves + np.minimum(gone, leaves - 1)] = NONE
+            prior = before[at]
+            here = np.concatenate([at, prior[prior >= 0]])
+            tree[leaves + here] = self.rank(symbol[here], symbol[np.minimum(after[here], leaves)])
+            node = np.unique(np.concatenate([here, np.minimum(gone, leaves - 1)])) + leaves
+            while node[0] > 1:
+                node = node >> 1
+                node = node[np.r_[True, node[1:] != node[:-1]]]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return symbol[:leaves][symbol[:leaves] >= 0].astype("<u4").tobytes()
+
     def segments(self, chunk: str) -> list[str]:
         """The chunk's pieces; added tokens' strings stand by themselves."""
         at, token = min(((chunk.find(s), s) for s in self.added if s in chunk), default=(-1, ""))

@@ -15,6 +15,7 @@ any text.
 from __future__ import annotations
 
 import copy
+import ctypes
 import functools
 import os
 import re
@@ -30,7 +31,7 @@ SLICE_BYTES = 4 << 20
 #: Entries of each of the cache's two generations.
 CACHE_ROOM = 120_000
 #: The same for the library's ids, which have no second cache of pieces.
-IDS_ROOM = 350_000
+IDS_ROOM = 200_000
 #: Chunks that the library encodes as one text.
 JOINED = 200
 #: Longer keys are worked out each time and not kept.
@@ -87,6 +88,15 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t.content: i for i, t in load(path).get_added_tokens_decoder().items()}
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id."""
+    return max(load(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
+#: The C library's call for it, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
 class Cache:
     """Two generations of results: what is used again outlives what is not."""
 
@@ -163,6 +173,22 @@ class Gatherer:
         return edges[first], edges[first + number] - edges[first], out
 
 
+def ended(start: np.ndarray, length: np.ndarray, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, values): a gatherer's texts on end in their order, an end id after each."""
+    edges = np.concatenate([[0], np.cumsum(length + 1)])
+    inside = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
+    out = np.full(edges[-1], end, values.dtype)
+    out[np.repeat(edges[:-1], length) + inside] = values[np.repeat(start, length) + inside]
+    return edges, out
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker's next stage starts small."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, text: int = 1, size: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch of about ``SLICE_BYTES`` of text each, and their texts."""
     size = size or SLICE_BYTES
@@ -175,7 +201,7 @@ def slices(batch: pa.RecordBatch, text: int = 1, size: int | None = None) -> Ite
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 class Library:
@@ -190,9 +216,10 @@ class Library:
         self.special = list(added_tokens(path))
         alone = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
         self.stop_id, self.stop = alone[-1] if alone else (-1, "")
-        # what its normaliser leaves as it is can do without
-        self.bare = copy.deepcopy(self.tokenizer)
-        self.bare.normalizer = None
+        self.bare = self.tokenizer
+        if self.tokenizer.normalizer is not None:  # what it leaves as it is can do without
+            self.bare = copy.deepcopy(self.tokenizer)
+            self.bare.normalizer = None
 
     def joined(self, tokenizer, chunks: list[str]) -> list[bytes]:
         if not self.stop:

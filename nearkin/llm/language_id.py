@@ -21,6 +21,9 @@ Defined results: a document without a letter (null and empty texts too) is
 whose best posterior is under ``min_posterior``. Without any labelled row all
 is ``und``. Null hosts and suffixes have the whole corpus's prior, null or
 unknown declarations say nothing. Repeated rows each give a row and count each.
+Of labels that explain a text equally well the first by name is taken. A very long
+text is read whole, a slice alone in its task. An empty table gives an empty
+result; columns other than those named are never looked at.
 """
 
 from __future__ import annotations
@@ -235,17 +238,26 @@ def identify(docs: DataFrame, models: Models, declared: Column, host: Column, su
 
 
 def identify_documents(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """Documents: ``lang`` is what is declared, ``source`` the host."""
-    return identify(docs, fit(docs, "lang"), docs["lang"], docs["source"], F.lit(None), work=work)
+    """Documents: ``lang`` is what is declared, ``source`` the host, whose suffix
+    counts where it has one."""
+    return identify(docs, fit(docs, "lang"), docs["lang"], docs["source"], suffix_of(docs["source"]), work=work)
+
+
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(F.lower(host), r"\.([a-z0-9-]+)$", 1)
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:
-    """Web pages: markup language, host and suffix from the address, visible text."""
+    """Web pages: markup language, host and suffix from the address, visible text.
+
+    A null page is empty text and so ``und``; a null or odd address has no host
+    and the whole corpus's prior; markup without a language declares none.
+    """
     markup = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&\w+;", " ")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&#?\w+;", " ")
     host = F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), primary(markup).alias("lang"), F.when(host != "", host).alias("host"))
-    return identify(rows, fit(rows, "lang"), rows["lang"], rows["host"], F.regexp_extract(rows["host"], r"\.([a-z0-9-]+)$", 1))
+    return identify(rows, fit(rows, "lang"), rows["lang"], rows["host"], suffix_of(rows["host"]))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

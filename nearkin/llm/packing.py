@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.llm.chunks import encoder, slices
+from nearkin.llm.chunks import encoder, ended, slices
 from nearkin.llm.shared import Workspace, id_and_text
 
 #: Share of the capacity above which a piece is large.
@@ -174,29 +174,40 @@ def make_plan(histogram: dict[int, int], capacity: int, large_share: float = LAR
     return plan
 
 
-def cutting(path: str, kind: str, end: int, capacity: int):
+def cutting(path: str, kind: str, end: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = encoder(path, kind)
-        tail = np.array([end], "<u4").tobytes()
-        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        task, seen, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 0
         for batch in batches:
             for part, texts in slices(batch):
-                begin, size, ids = gather(texts)
-                rows: list[list] = [[], [], [], [], [], [], []]
-                for i, (a, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
-                    held = ids[a : a + n].tobytes() + tail
-                    for piece, start in enumerate(range(0, n + 1, capacity)):
-                        own = held[4 * start : 4 * (start + capacity)]
-                        length = len(own) // 4
-                        for column, value in zip(rows, (i, piece, start, length, zlib.crc32(own), seen[length], own), strict=True):
-                            column.append(value)
-                        seen[length] += 1
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                columns = [pa.array(c, k) for c, k in zip(rows[1:], kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows[0]), task), pa.int32()), part.column(0).take(pa.array(rows[0], pa.int64())), *columns],
-                    names=["task", "doc_id", "piece", "start", "length", "ids_crc32", "place", "ids"],
-                )
+                edges, ids = ended(*gather(texts), end)
+                size = np.diff(edges)
+                number = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), number)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                start = piece * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                held = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
+                low = 4 * (edges[doc] + start)
+                own = [held[a:b] for a, b in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order)) - np.searchsorted(length[order], length[order])
+                place += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                columns = {
+                    "task": pa.array(np.full(len(doc), task), pa.int32()),
+                    "row": pa.array((task << 40) + rows + doc, pa.int64()),
+                    "doc_id": part.column(0).take(pa.array(doc)),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int32()),
+                    "ids_crc32": pa.array(list(map(zlib.crc32, own)), pa.int64()),
+                    "place": pa.array(place, pa.int64()),
+                    "ids": pa.array(map(bytes, own) if with_ids else [None] * len(own), pa.binary(), size=len(own)),
+                }
+                rows += len(size)
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -212,40 +223,41 @@ def placing(plan: Plan):
             length, rank = b.column(3).to_numpy().astype(np.int64), b.column(5).to_numpy()
             _, low, sequence, per, offset = seg[np.searchsorted(keys, length << 45 | rank, "right") - 1].T
             at = rank - low
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence + at // per), pa.array(offset + at % per * length)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence + at // per), pa.array(offset + at % per * length), b.column(6)], names=[*b.schema.names[:5], "sequence_id", "offset", "row"])
 
     return run
 
 
-def pack(docs: DataFrame, path: str, kind: str, end: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pieces, places): the written pieces with their ids, and a row per piece
-    with doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, kind: str, end: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pieces, places): the written pieces, and a row per piece with doc_id,
+    piece, start, length, ids_crc32, sequence_id, offset and row (tells documents
+    apart, whatever their ids). Pieces hold their ids only if asked to."""
     work = work or Workspace(docs.sparkSession, "packing")
-    schema = "task int, doc_id long, piece int, start long, length int, ids_crc32 long, place long, ids binary"
-    pieces = work.table(id_and_text(docs, id_col, text_col).mapInArrow(cutting(path, kind, end, capacity), schema), "pieces")
+    schema = "task int, row long, doc_id long, piece int, start long, length int, ids_crc32 long, place long, ids binary"
+    pieces = work.table(id_and_text(docs, id_col, text_col).mapInArrow(cutting(path, kind, end, capacity, with_ids), schema), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     counts = work.table(counts.withColumn("before", F.coalesce(before, F.lit(0))), "counts")
     plan = make_plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     ranked = pieces.drop("ids").join(counts.select("task", "length", "before"), ["task", "length"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    return pieces, ranked.mapInArrow(placing(plan), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"), "row")
+    return pieces, ranked.mapInArrow(placing(plan), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long, row long")
 
 
 def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves."""
-    whole = places.join(pieces.select("doc_id", "piece", "ids_crc32", "ids"), ["doc_id", "piece", "ids_crc32"])
+    whole = places.join(pieces.select("row", "piece", "ids"), ["row", "piece"])
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(F.transform(parts, lambda p: p["ids"]), F.lit(b""), lambda a, x: F.concat(a, x))
-    return whole.dropDuplicates(["sequence_id", "offset"]).groupBy("sequence_id").agg(joined.alias("ids"))
+    return whole.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """All documents in sequences of at most 2048 tokens of the word vocabulary."""
     import public_tokenizers
 
-    _, places = pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word", 0, 2048)
-    return places.withColumns({"length": F.col("length").cast("long")})
+    _, places = pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word", 0, 2048, with_ids=False)
+    return places.drop("row").withColumn("length", F.col("length").cast("long"))
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records over memory-sized buckets by a seeded hash; Spark's
-shuffle files are the external buckets. Pass two holds one bucket at a time,
-puts it in Fisher-Yates order (the built-in ``shuffle``, which is the inside-out
+Pass one scatters records over memory-sized buckets by seeded hashes; Spark's
+shuffle files are the external buckets. Beyond ``MAX_BUCKETS`` buckets are nested:
+a task then has an outer bucket and takes the inner ones in turn, so a bucket's
+size never grows with the input. Pass two holds one bucket at a time, puts it in Fisher-Yates order (the built-in ``shuffle``, which is the inside-out
 form of it, seeded) and writes it. A record's place in the whole order is its
 bucket's first place, known from a count of the buckets, plus its place inside;
 shards are equal consecutive stretches of that order, so their counts differ by
@@ -18,13 +19,13 @@ with its text; an empty table writes no shard and gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.llm.shared import Workspace, exclusive_prefix
 
-#: Buckets at most; the table of their first places is broadcast and so has
-#: this many rows at most. Larger inputs get larger buckets.
+#: Outer buckets at most; the table of their first places is broadcast and so has
+#: this many rows at most.
 MAX_BUCKETS = 1 << 18
 
 
@@ -37,20 +38,29 @@ def shard_records(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     work = work or Workspace(spark, "sharding")
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 16
     n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-total // bucket_bytes)))
+    wanted = max(1, -(-total // bucket_bytes))
+    buckets = min(MAX_BUCKETS, wanted)
+    nested = -(-wanted // buckets)
+
+    def part_of(seed: int, n: int):
+        return F.pmod(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]), F.lit(n)).cast("int")
+
     keyed = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]), F.lit(buckets)).cast("int").alias("bucket"),
+        part_of(seed, buckets).alias("bucket"),
+        (part_of(seed + 1, nested) if nested > 1 else F.lit(0)).alias("inner"),
         F.struct(docs[id_col].alias("__id"), F.struct(*docs.columns).alias("record")).alias("entry"),
     )
     firsts = exclusive_prefix(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket", "n", "first").select("bucket", "first")
+    held = keyed.repartitionById(buckets, F.col("bucket")).groupBy("bucket", "inner").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    before = F.lit(0)
+    if nested > 1:  # places of the inner buckets, in the outer one's task
+        before = F.coalesce(F.sum(F.size("entries")).over(Window.partitionBy("bucket").orderBy("inner").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shuffled = (
-        keyed.repartitionById(buckets, F.col("bucket"))
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+        held.withColumn("before", before)
         .withColumn("entries", F.shuffle("entries", seed))
         .join(F.broadcast(firsts), "bucket")
-        .select("first", F.posexplode("entries").alias("place", "entry"))
-        .withColumn("position", F.col("first") + F.col("place"))
+        .select("first", "before", F.posexplode("entries").alias("place", "entry"))
+        .withColumn("position", F.col("first") + F.col("before") + F.col("place"))
     )
     short, longer = n // n_shards, n % n_shards
     edge = longer * (short + 1)

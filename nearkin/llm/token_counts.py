@@ -8,8 +8,9 @@ and last token at each prefix of a piece; prefixes that pieces share are worked
 out once. Rules for prefixes that end in white space, a contraction or an added
 token's string turn counts in pieces into counts in texts.
 
-Kept per text: a byte per character, the change in count that it brings (counts
-may fall: a longer prefix can need fewer tokens). Truncation and budget
+Kept per text: the change in count that each character brings (counts may fall: a
+longer prefix can need fewer tokens), a byte per character, or four where one is
+beyond a byte. Truncation and budget
 questions are then sums over those bytes (``count_at``, ``longest_within``); the
 text is never encoded again.
 
@@ -40,12 +41,17 @@ KEPT = 400_000
 
 
 def changes(counts: list[int]) -> bytes:
-    """Differences of neighbouring counts as signed bytes."""
-    return struct.pack(f"{len(counts)}b", *map(operator.sub, counts, [0, *counts[:-1]]))
+    """Differences of neighbouring counts as signed integers."""
+    return struct.pack(f"<{len(counts)}i", *map(operator.sub, counts, [0, *counts[:-1]]))
 
 
 def signed(held: bytes) -> tuple[int, ...]:
-    return struct.unpack(f"{len(held)}b", held)
+    return struct.unpack(f"<{len(held) // 4}i", held)
+
+
+def narrow(change: np.ndarray) -> np.ndarray:
+    """As bytes where all fit."""
+    return change.astype(np.int8) if not len(change) or -128 <= change.min() and change.max() <= 127 else change
 
 
 class PrefixCounts:
@@ -55,7 +61,11 @@ class PrefixCounts:
         self.tokenize = load(path).model.tokenize
         self.vocab = load(path).get_vocab(with_added_tokens=False)
         self.token = {i: s for s, i in self.vocab.items()}
-        self.longest = max(map(len, self.vocab))
+        # lengths of the tokens that end in one or two given characters
+        ends: dict[str, set[int]] = {}
+        for token in self.vocab:
+            ends.setdefault(token[-2:], set()).add(len(token))
+        self.lengths = {e: sorted(n) for e, n in ends.items()}
         self.special = list(added_tokens(path))
         self.agreed: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, tuple[int, int]] = {}
@@ -73,10 +83,12 @@ class PrefixCounts:
         return known
 
     def step(self, s: str, i: int, last: list[int], count: list[int]) -> tuple[int, int]:
-        for at in range(max(0, i - self.longest), i):
-            token = self.vocab.get(s[at:i])
-            if token is not None and self.agrees(last[at], token):
-                return count[at] + 1, token
+        for n in (1, *self.lengths.get(s[max(0, i - 2) : i], ())):
+            if n > i:
+                break
+            token = self.vocab.get(s[i - n : i])
+            if token is not None and self.agrees(last[i - n], token):
+                return count[i - n] + 1, token
         raise AssertionError("every byte is a token")
 
     def piece(self, text: str) -> list[int]:
@@ -133,17 +145,17 @@ class PrefixCounts:
 @functools.lru_cache(maxsize=2)
 def gatherer(path: str) -> Gatherer:
     make = PrefixCounts(path)
-    return Gatherer(make, np.int8, "byte", make.special)
+    return Gatherer(make, "<i4", "byte", make.special)
 
 
-def count_at(changes: bytes, n_chars: int) -> int:
-    """Tokens of the text's first ``n_chars`` characters."""
-    return int(np.frombuffer(changes, np.int8)[:n_chars].sum(dtype=np.int64))
+def count_at(changes: bytes, n_chars: int, width: int = 1) -> int:
+    """Tokens of the text's first ``n_chars`` characters; ``width`` bytes stand for each."""
+    return int(np.frombuffer(changes, f"<i{width}")[:n_chars].sum(dtype=np.int64))
 
 
-def longest_within(changes: bytes, budget: int) -> int:
+def longest_within(changes: bytes, budget: int, width: int = 1) -> int:
     """Characters of the longest prefix of at most ``budget`` tokens."""
-    within = np.flatnonzero(np.cumsum(np.frombuffer(changes, np.int8), dtype=np.int64) <= budget)
+    within = np.flatnonzero(np.cumsum(np.frombuffer(changes, f"<i{width}"), dtype=np.int64) <= budget)
     return int(within[-1]) + 1 if len(within) else 0
 
 
@@ -156,20 +168,28 @@ def prefixes(path: str, budget: int):
                 ends = start + length
                 total = np.concatenate([[0], np.cumsum(change, dtype=np.int64)])
                 n = total[ends] - total[start]
-                kept = [change[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
-                within = [len(c) if m <= budget else longest_within(c, budget) for c, m in zip(kept, n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array(within, pa.int64()), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "n_tokens", "chars_within", "changes"],
-                )
+                small = narrow(change)  # as a rule all fit
+                kept = [narrow(small[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+                width = [c.itemsize for c in kept]
+                kept = [c.tobytes() for c in kept]
+                within = [len(c) // w if m <= budget else longest_within(c, budget, w) for c, w, m in zip(kept, width, n.tolist(), strict=True)]
+                columns = {
+                    "doc_id": part.column(0),
+                    "n_bytes": pc.cast(pc.binary_length(texts), pa.int64()),
+                    "n_tokens": pa.array(n, pa.int64()),
+                    "chars_within": pa.array(within, pa.int64()),
+                    "changes": pa.array(kept, pa.binary()),
+                    "width": pa.array(width, pa.int32()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def token_prefixes(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, chars_within (the longest prefix of at most
-    ``budget`` tokens, in characters) and changes (a byte per character)."""
-    schema = "doc_id long, n_bytes long, n_tokens long, chars_within long, changes binary"
+    ``budget`` tokens, in characters) and changes (``width`` bytes per character)."""
+    schema = "doc_id long, n_bytes long, n_tokens long, chars_within long, changes binary, width int"
     return id_and_text(docs, id_col, text_col).mapInArrow(prefixes(path, budget), schema)
 
 

@@ -11,13 +11,15 @@ data): up to ``BLOCK_IDS`` ids of consecutive documents, with ``first`` the numb
 ids of all documents before them. Documents ascend by id inside and across
 blocks.
 
-Documents are spread over ranges of ids with bounds taken from the ids alone,
-so no text is read for them; a task keeps one block in memory. What meets on the
-driver is a total per range and a count per vocabulary entry.
+Documents are spread over ranges of (id, number of the row in the scan), so even
+the rows of one id go to many tasks. Bounds come from a sample of at most
+``SAMPLED`` x ``MAX_RANGES`` ids, so no text is read for them; a task sorts its
+range, with spilling, and keeps one block in memory. What meets on the driver is
+that sample, a total per range and a count per vocabulary entry, all bounded.
 
 Defined results: a null text counts as empty and is its end id alone; a null id
-comes before all others; rows with the same id stand side by side, by their ids'
-bytes; an empty table gives no block.
+comes before all others; rows with the same id stand side by side, in the
+order of the scan; an empty table gives no block.
 """
 
 from __future__ import annotations
@@ -31,13 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.chunks import encoder, slices
+from nearkin.llm.chunks import encoder, ended, slices, vocabulary_size
 from nearkin.llm.shared import Workspace, id_and_text
 
 BLOCK_IDS = 1 << 19
 #: Ids of a range of documents at most, roughly: what one task sorts and writes.
 RANGE_DOCS = 1 << 15
 
+#: Ranges at most: their bounds and totals go to every task.
+MAX_RANGES = 1 << 14
+#: Rows that bounds are taken from, for each range.
+SAMPLED = 64
+
 #: Lengths of the four ranks that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -60,68 +67,107 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return words[np.cumsum(length) - length] & MASKS[length - 1]
 
 
-def encoding(path: str, kind: str, end: int, bounds: list[int]):
-    edges = np.array(bounds, np.int64)
+def encoding(path: str, kind: str, end: int, bounds: list[tuple[int, int]]):
+    ids, rows = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+
+    def range_of(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(ids, doc), np.searchsorted(ids, doc, "right")
+        for i in np.flatnonzero(low < high):  # an id that is a bound itself: its rows are told apart
+            low[i] += np.searchsorted(rows[low[i] : high[i]], row[i], "right")
+        return low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = encoder(path, kind)
-        tail = np.array([end], "<u4").tobytes()
+        kept = id_type(path, end)
         for batch in batches:
-            for part, texts in slices(batch):
-                start, length, ids = gather(texts)
-                held = [ids[a : a + n].tobytes() + tail for a, n in zip(start.tolist(), length.tolist(), strict=True)]
-                doc = part.column(0)
-                where = np.searchsorted(edges, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), doc, pa.array(held, pa.binary())], names=["range", "doc_id", "ids"])
+            for part, texts in slices(batch, 2):
+                edges, held = ended(*gather(texts), end)
+                held = held.astype(kept)
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((edges * kept.itemsize).astype(np.int32)), pa.py_buffer(held)])
+                doc, row = part.column(0), part.column(1)
+                where = range_of(pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), row.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), doc, row, binary], names=["range", "doc_id", "row", "ids"])
 
     return run
 
 
-def blocking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def id_type(path: str, end: int) -> np.dtype:
+    """The narrowest integers that hold all ids on their way to the blocks."""
+    return np.dtype("<u2" if max(vocabulary_size(path), end + 1) <= 1 << 16 else "<u4")
+
+
+def blocking(kept: np.dtype):
     """Sorted documents to blocks of raw ids; ``before`` counts inside the range."""
-    names = ["range", "before", "n_ids", "doc_ids", "lengths", "ids"]
-    where, before, docs, held, n = TaskContext.get().partitionId(), 0, [], [], 0
-
-    def block():
-        lengths = [len(x) // 4 for x in held]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([where], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())],
-            names=names,
-        )
-
-    for batch in batches:
-        for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = ids.as_py()
-            if docs and n + len(ids) // 4 > BLOCK_IDS:
-                yield block()
-                before, docs, held, n = before + n, [], [], 0
-            docs.append(doc)
-            held.append(ids)
-            n += len(ids) // 4
-    if docs:
-        yield block()
-
-
-def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            n = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=len(total))
-            n[: len(total)] += total
-            total = n
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
-
-
-def coding(rank_of: np.ndarray, base: list[int]):
+    width = kept.itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, before, docs, lengths, held, n = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def block():
+            columns = {
+                "range": pa.array([where], pa.int32()),
+                "before": pa.array([before], pa.int64()),
+                "n_ids": pa.array([n], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, sum(map(len, docs))], pa.int32()), pa.concat_arrays(docs)),
+                "lengths": pa.array([np.concatenate(lengths)], pa.list_(pa.int64())),
+                "ids": pa.array([b"".join(held)], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // width
+            edges = np.concatenate([[0], np.cumsum(size)])
+            at = 0
+            while at < batch.num_rows:
+                room = BLOCK_IDS - n
+                to = max(at, int(np.searchsorted(edges, edges[at] + room, "right")) - 1)
+                if to == at and not n:
+                    to = at + 1  # longer than a block: a block alone
+                if to > at:
+                    part = batch.slice(at, to - at)
+                    docs.append(part.column(0))
+                    lengths.append(size[at:to])
+                    held += part.column(1).to_pylist()
+                    n += int(edges[to] - edges[at])
+                if to < batch.num_rows:
+                    yield block()
+                    before, docs, lengths, held, n = before + n, [], [], [], 0
+                at = to
+        if docs:
+            yield block()
+
+    return run
+
+
+def counting(kept: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                n = np.bincount(np.frombuffer(ids.as_buffer(), kept), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+
+    return run
+
+
+def coding(kept: np.dtype, rank_of: np.ndarray, base: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for where, before, n, docs, lengths, ids in zip(*(batch.column(i) for i in range(6)), strict=True):
-                control, data = code(rank_of[np.frombuffer(ids.as_py(), "<u4")])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([base[where.as_py()] + before.as_py()], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([n.as_py()], pa.int64()), pa.array([docs.as_py()], pa.list_(pa.int64())), pa.array([lengths.as_py()], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                    names=["first", "n_docs", "n_ids", "doc_ids", "lengths", "control", "data"],
-                )
+            first = [base[w] + b for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            coded = [code(rank_of[np.frombuffer(ids.as_buffer(), kept)]) for ids in batch.column(5)]
+            columns = {
+                "first": pa.array(first, pa.int64()),
+                "n_docs": pc.cast(pc.list_value_length(batch.column(3)), pa.int64()),
+                "n_ids": batch.column(2),
+                "doc_ids": batch.column(3),
+                "lengths": batch.column(4),
+                "control": pa.array([c for c, _ in coded], pa.binary()),
+                "data": pa.array([d for _, d in coded], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -130,26 +176,35 @@ BLOCKS = "first long, n_docs long, n_ids long, doc_ids array<long>, lengths arra
 RANKS = "rank long, id long"
 
 
+def range_bounds(keys: DataFrame, n: int, ranges: int) -> list[tuple[int, int]]:
+    """(id, row) that ranges of about equal numbers of documents start at, from a sample of bounded size."""
+    some = keys.sample(min(1.0, SAMPLED * ranges / n), 0).collect()
+    some = sorted((np.iinfo(np.int64).min if r["doc_id"] is None else r["doc_id"], r["row"]) for r in some)
+    return sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
+
+
 def write_tokens(docs: DataFrame, path: str, kind: str, end: int, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> str:
     """Encode all documents and write them; returns the folder."""
     spark = docs.sparkSession
-    work = work or Workspace(spark, "tokens")
-    rows = id_and_text(docs, id_col, text_col)
+    work = work or Workspace(spark, "tokens", keep=True)
+    kept = id_type(path, end)
+    # rows are numbered as they are scanned, so that those of one id can be dealt to many ranges
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     n = rows.count()
-    ranges = max(1, -(-n // RANGE_DOCS), min(n // 256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted(set(map(int, rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))) if ranges > 1 else []
-    coded = rows.mapInArrow(encoding(path, kind, end, bounds), "range int, doc_id long, ids binary")
-    ordered = coded.repartitionById(len(bounds) + 1, F.col("range")).select("doc_id", "ids").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    raw = work.table(ordered.mapInArrow(blocking, "range int, before long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"), "raw")
+    ranges = min(MAX_RANGES, max(1, -(-n // RANGE_DOCS), min(n // 256, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    bounds = range_bounds(rows.select("doc_id", "row"), n, ranges) if ranges > 1 else []
+    coded = rows.mapInArrow(encoding(path, kind, end, bounds), "range int, doc_id long, row long, ids binary")
+    ordered = coded.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "row").select("doc_id", "ids")
+    raw = work.table(ordered.mapInArrow(blocking(kept), "range int, before long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"), "raw", codec="lz4")
 
-    counts = raw.select("ids").mapInArrow(counting, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = raw.select("ids").mapInArrow(counting(kept), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ranked = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     held = {r["range"]: r["n"] for r in raw.groupBy("range").agg(F.sum("n_ids").alias("n")).collect()}
     base = np.concatenate([[0], np.cumsum([held.get(i, 0) for i in range(len(bounds) + 1)])]).tolist()
     work.table(spark.createDataFrame(list(enumerate(ranked)), RANKS).coalesce(1), "ranks")
-    work.table(raw.mapInArrow(coding(rank_of, base), BLOCKS), "blocks", codec="uncompressed")
+    work.table(raw.mapInArrow(coding(kept, rank_of, base), BLOCKS), "blocks", codec="uncompressed")
     work.drop("raw")
     return work.path
 
@@ -181,5 +236,5 @@ def op6_token_output(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", 0)
+    folder = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", 0, work=Workspace(spark, "tokens"))
     return read_tokens(spark, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

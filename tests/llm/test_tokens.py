@@ -1,4 +1,7 @@
+import hashlib
 import random
+import string
+import time
 import zlib
 
 import numpy as np
@@ -67,11 +70,44 @@ def test_slices_hold_whole_texts(monkeypatch):
 @given(texts)
 @settings(max_examples=150, deadline=None)
 def test_every_prefix_has_its_exact_count(text):
-    change = np.array(gathered(token_counts.gatherer(BYTE), [text])[0], np.int8).tobytes()
+    change = np.array(gathered(token_counts.gatherer(BYTE), [text])[0], np.int32)
     want = [len(ids(BYTE, text[:i])) for i in range(len(text) + 1)]
-    assert [token_counts.count_at(change, i) for i in range(len(text) + 1)] == want
-    for budget in (0, 1, 3, 10):
-        assert token_counts.longest_within(change, budget) == max(i for i, n in enumerate(want) if n <= budget)
+    for held, width in ((token_counts.narrow(change), 1), (change, 4)):
+        assert held.itemsize == width
+        assert [token_counts.count_at(held.tobytes(), i, width) for i in range(len(text) + 1)] == want
+        for budget in (0, 1, 3, 10):
+            assert token_counts.longest_within(held.tobytes(), budget, width) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_wide_changes_are_kept_whole(spark, frame, monkeypatch):
+    change = np.array([1, 300, -200, 0], np.int32)
+    assert token_counts.narrow(change) is change and token_counts.count_at(change.tobytes(), 2, 4) == 301
+    assert token_counts.longest_within(change.tobytes(), 101, 4) == 4
+
+
+def test_a_megabyte_without_white_space_takes_seconds():
+    rnd = random.Random(9)
+    held = ["".join(rnd.choices(string.ascii_letters, k=1 << 20)), "x" * (1 << 20), "ab" * (1 << 19)]
+    _, gather = bpe.codec(BYTE)
+    began = time.process_time()
+    found = gathered(gather, held)
+    assert time.process_time() - began < 60
+    assert found == [ids(BYTE, t) for t in held]
+    small = held[0][: 1 << 17]
+    began = time.process_time()
+    change = np.array(gathered(token_counts.gatherer(BYTE), [small])[0])
+    assert time.process_time() - began < 30 and change.sum() == len(ids(BYTE, small))
+
+
+def test_long_pieces_merge_as_the_library(monkeypatch):
+    code, _ = bpe.codec(BYTE)
+    rnd = random.Random(3)
+    held = ["".join(rnd.choices("abcde", k=n)) for n in (2, 3, 50, 300)] + ["a" * n for n in (2, 3, 4, 5, 17)] + ["é" * 40]
+    for ascends in (True, False):
+        monkeypatch.setattr(code, "ascends", ascends)
+        for t in held:
+            word = t.encode()
+            assert np.frombuffer(code.merge_long(word, max(1, (len(word) - 1).bit_length())), "<u4").tolist() == ids(BYTE, t)
 
 
 def test_token_counts_of_odd_rows(odd, empty):
@@ -224,3 +260,53 @@ def test_packed_sequences_hold_the_ids(frame):
     held = b"".join(bytes(r.ids) for r in packing.sequences(pieces, places).collect())
     want = [x for _, t in rows for x in [*ids(WORD, t), 0]]
     assert sorted(np.frombuffer(held, "<u4").tolist()) == sorted(want)
+
+
+def test_packed_sequences_of_null_ids(frame):
+    rows = [(None, f"alpha beta {i} " * (i % 9)) for i in range(12)] + [(3, "one two"), (3, "one two")]
+    pieces, places = packing.pack(frame(rows), WORD, "word", 0, 32)
+    held = b"".join(bytes(r.ids) for r in packing.sequences(pieces, places).collect())
+    want = [x for _, t in rows for x in [*ids(WORD, t), 0]]
+    assert sorted(np.frombuffer(held, "<u4").tolist()) == sorted(want)
+
+
+# -- registered queries ------------------------------------------------------
+
+
+def test_queries_over_tokens_give_what_their_contracts_ask(spark, frame, tmp_path):
+    rows = [r for r in ODD if r[0] is not None] + [(20, "word " * 3000)]
+    frame(rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    raw = lambda own: np.array(own, "<u4").tobytes()
+    own = {(i, t): ids(BYTE, t or "") for i, t in rows}
+    found = token_counts.op1_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in found) == sorted((i, len((t or "").encode()), len(own[i, t]), len(own[i, t]) > 1024) for i, t in rows)
+    found = token_output.op6_token_output(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == sorted((i, len(own[i, t]) + 1, zlib.crc32(raw([*own[i, t], 0]))) for i, t in rows)
+    at = 0
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ordered = [r.doc_id for r in sorted(found, key=lambda r: r.start)]
+    assert ordered == sorted(ordered)
+    found = bpe.op7_bpe(spark, str(tmp_path)).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == sorted((i, len(own[i, t]), sha(raw(own[i, t])), sha((t or "").encode())) for i, t in rows)
+    found = packing.op10_packing(spark, str(tmp_path))
+    kinds = dict(found.dtypes)
+    assert [kinds[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")] == ["bigint", "int", "bigint", "bigint", "bigint", "bigint", "bigint"]
+    want = []
+    for i, t in rows:
+        whole = [*ids(WORD, t or ""), 0]
+        want += [(i, k, a, len(whole[a : a + 2048]), zlib.crc32(raw(whole[a : a + 2048]))) for k, a in enumerate(range(0, len(whole), 2048))]
+    assert sorted(tuple(r)[:5] for r in found.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("ranges", [1, 2])
+def test_rows_of_one_id_go_to_many_ranges(spark, frame, monkeypatch, ranges):
+    monkeypatch.setattr(token_output, "RANGE_DOCS", 8)
+    monkeypatch.setattr(token_output, "MAX_RANGES", 6 * ranges)
+    rows = [(7, f"the same id {i % 3}") for i in range(60)] + [(i, f"text {i}") for i in range(5)]
+    folder = token_output.write_tokens(frame(rows), BYTE, "byte", 0)
+    found = sorted(token_output.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in found) == sorted((i, np.array([*ids(BYTE, t), 0], "<u4").tobytes()) for i, t in rows)
