@@ -279,36 +279,39 @@ def links(prints: DataFrame, n: int, radius: int, work: Workspace) -> DataFrame:
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "side").mapInArrow(comparing(radius), "a long, b long")
 
 
-def components(edges: DataFrame, work: Workspace, smallest_first: bool = True) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """node, root: the smallest node of each linked node's component.
 
     Alternates large-star (a node's larger neighbours move to its smallest) and
     small-star (its smaller ones do), each on a table written to shared storage,
-    until a round changes nothing.
+    until every link goes straight to a root. The smallest neighbours are written
+    before they are joined back, so that a node with very many links is joined
+    from two plain exchanges, which adaptive execution can split.
     """
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def settled(df: DataFrame) -> bool:
+        n, children = df.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+        return n == children and df.select("b").distinct().join(df.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+    def star(df: DataFrame, large: bool, name: str) -> DataFrame:
         """(a, b) with a > b to the same form, every node's links moved to its smallest."""
         both = df.select("a", "b").union(df.select(F.col("b"), F.col("a"))) if large else df
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = work.table(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), f"low-{name}")
         joined = both.join(low, "a")
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        return out.where("a <> b").distinct()
+        return work.table(out.where("a <> b").distinct(), name)
 
-    now = work.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links-0")
-    before, turn = mark(now), 0
-    while before[0]:
+    now, turn = work.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links-0"), 0
+    while not settled(now):
         turn += 1
-        now = work.table(star(star(now, True), False), f"links-{turn}")
-        work.drop(f"links-{turn - 1}")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+        wide = star(now, True, f"wide-{turn}")
+        after = star(wide, False, f"links-{turn}")
+        for name in (f"links-{turn - 1}", f"wide-{turn}", f"low-wide-{turn}", f"low-links-{turn}"):
+            work.drop(name)
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -319,7 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = work.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), distinct.count(), radius, work), work)
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a root with very many fingerprints is joined from two plain exchanges
+    least = work.table(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
