@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.llm import simhash
-from nearkin.llm.chunks import slices
+from nearkin.llm.chunks import release, slices
 from nearkin.llm.shared import BROADCAST_ROWS, Workspace, text_key, text_of
 
 SHINGLE = 5
@@ -114,6 +114,8 @@ def verifying(alike: float):
                 kept.append(len(x) == len(y) == 0 or both >= least_overlap(len(x), len(y), alike) and both > 0)
             kept = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+            del batch
+            release()
 
     return run
 
