@@ -8,11 +8,11 @@ lost executor never sends work back further than one stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.llm import exact_dedup, language_id, near_copies, packing
-from nearkin.llm.shared import Workspace, remove_rows, text_key
+from nearkin.llm.shared import Workspace, only_rows, remove_rows, text_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,11 @@ def without(docs: DataFrame, found: DataFrame, kept, work: Workspace) -> DataFra
     again = rows.where("kept")
     if again.isEmpty():
         return left
-    # rows repeated with the same id and text: number them, keep the first
-    numbered = left.withColumn("__key", text_key(left))
-    order = Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))
-    return numbered.withColumn("__copy", F.row_number().over(order)).where("__copy = 1").select(*docs.columns)
+    # rows with the same id and text: only these are moved, one of each stays
+    same = only_rows(left, again)
+    record = F.struct(*(same[f"`{c}`"] for c in docs.columns)).alias("record")
+    one = same.select(same["doc_id"].alias("id"), text_key(same).alias("key"), record).groupBy("id", "key").agg(F.first("record").alias("record"))
+    return remove_rows(left, again).union(one.select("record.*"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("best_fit_packing", pack)]
