@@ -43,6 +43,8 @@ class EngineConfig:
     index_type: str = "flat"
     ivf_nlist: int = 256
     ivf_nprobe: int = 8
+    ivf_train_threshold: int = 10000
+    ivf_seal_threshold: int = 100000
     snapshot_retain: int = 3
     cache_enabled: bool = True
     cache_max_entries: int = 1024
@@ -57,7 +59,7 @@ class EngineConfig:
         for name in ("ctx_buffer_size", "default_dimension", "default_top_k", "max_top_k", "ivf_nprobe", "decay_interval_sec"):
             if getattr(self, name) < 1:
                 bad.append(f"{name} must be at least 1")
-        for name in ("max_contexts", "max_neighbors_per_item", "min_support", "dedup_window_sec", "dedup_cache_size", "negative_weight", "sample_size", "ivf_nlist", "snapshot_retain", "fusion_alpha", "fusion_beta", "adaptive_maturity"):
+        for name in ("max_contexts", "max_neighbors_per_item", "min_support", "dedup_window_sec", "dedup_cache_size", "negative_weight", "sample_size", "ivf_nlist", "snapshot_retain", "fusion_alpha", "fusion_beta", "adaptive_maturity", "ivf_train_threshold", "ivf_seal_threshold"):
             if getattr(self, name) < 0:
                 bad.append(f"{name} must not be negative")
         if not 0 <= self.decay_alpha <= 1:
@@ -93,5 +95,6 @@ class EngineConfig:
         return {k: str(v) for k, v in sorted(shown.items()) if k.startswith(prefix)}
 
     @classmethod
-    def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+    def help(cls) -> dict[str, str]:
+        """Each setting's type and default, and whether it may change at run time."""
+        return {f.name: f"{f.type}, {f.default!r} by default{', may change at run time' if f.name in MUTABLE else ''}" for f in fields(cls)}

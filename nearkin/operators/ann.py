@@ -7,7 +7,8 @@ exact search answers instead.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from nearkin.config import EngineConfig, EngineError
 from nearkin.functions import vector as V
-from nearkin.operators import search
+from nearkin.operators import blocks, search
+from nearkin.operators.vectors import latest
+from nearkin.sources import scratch
 
 # Limits of training.
 MAX_LISTS = 1024
@@ -24,6 +27,8 @@ ITERATIONS = 10
 LEAST_MOVE = 1e-3
 #: Rows that training looks at, at most.
 SAMPLE_ROWS = 10_000
+#: Rows of it that the number of probed cells is measured on.
+TUNING_QUERIES = 256
 
 
 def list_count(n: int, asked: int = 0) -> int:
@@ -46,8 +51,7 @@ def train(vectors: DataFrame, metric: str, nlist: int = 0, seed: int = 42) -> li
     if not n:
         raise EngineError("no vectors to train on")
     k = list_count(n, nlist)
-    rows = vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(max(SAMPLE_ROWS, k)).select("vec").collect()
-    x = np.array([r["vec"] for r in rows], float)
+    x = sample(vectors, max(SAMPLE_ROWS, k), seed)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(ITERATIONS):
@@ -63,6 +67,26 @@ def train(vectors: DataFrame, metric: str, nlist: int = 0, seed: int = 42) -> li
     return c.tolist()
 
 
+def sample(vectors: DataFrame, rows: int, seed: int) -> np.ndarray:
+    """At most so many vectors, chosen by a hash of the id."""
+    return np.array([r["vec"] for r in vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(rows).select("vec").collect()], float)
+
+
+def tuned_probes(vectors: DataFrame, centroids: list[list[float]], metric: str, k: int = 10, reach: float = 0.95, seed: int = 42) -> int:
+    """The fewest cells to look into for a share ``reach`` of the true k nearest,
+    measured on the sample that the cells were trained on. Where vectors don't
+    gather around centroids, that is most of the cells."""
+    x, c = sample(vectors, SAMPLE_ROWS, seed), np.array(centroids, float)
+    cell = similarity_matrix(x, c, metric).argmax(axis=1)
+    queries = np.arange(min(TUNING_QUERIES, len(x)))
+    scores = similarity_matrix(x[queries], x, metric)
+    scores[queries, queries] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    order = np.argsort(np.argsort(-similarity_matrix(x[queries], c, metric), axis=1, kind="stable"), axis=1)
+    place = np.sort(np.take_along_axis(order, cell[near], axis=1).ravel())
+    return int(place[max(0, math.ceil(reach * len(place)) - 1)]) + 1 if len(place) else 1
+
+
 def assigning(centroids: np.ndarray, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,25 +123,72 @@ def cell_search(celled: DataFrame, centroids: list[list[float]], query: list[flo
     return search.by_vector(rows, query, k, config, metadata, filter_text, without=without)
 
 
+def probing(centroids: np.ndarray, metric: str, nprobe: int):
+    """(id, vec) to (id, vec, cell), a row for each of the nearest cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.round(similarity_matrix(np.array(b.column(1).to_pylist(), float), centroids, metric), 9)
+                cells = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
+                again = b.take(pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(cells.ravel(), pa.int32())], names=["id", "vec", "cell"])
+
+    return run
+
+
 def batch_cell_search(celled: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, config: EngineConfig) -> DataFrame:
     """``cell_search`` of many queries: each meets the rows of its cells only.
 
-    The join is on the cell. Rows of a cell are spread over ``salt`` values so
-    that a crowded cell is many tasks; a query goes to each of them.
+    Queries and rows are packed into blocks of one cell; the join is on the cell,
+    a row being a block, and each pair of blocks is one product of matrices.
     """
-    salts = 8
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centroids))
-    near = F.transform(table, lambda c: V.similarity(config.distance_metric, F.col("vec"), c))
-    ranked = F.slice(F.sort_array(F.transform(near, lambda s, i: F.struct((-F.round(s, 9)).alias("s"), i.alias("i")))), 1, config.ivf_nprobe)
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query"), F.col("norm").alias("query_norm"), F.explode(F.transform(ranked, lambda r: r["i"])).alias("cell"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    held = celled.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    met = held.join(asked, ["cell", "salt"]).where("id <> query_id")
-    if config.distance_metric == "cosine":
-        score = V.cosine(F.col("query"), F.col("vec"), F.col("query_norm"), F.col("norm"))
-    else:
-        score = V.similarity(config.distance_metric, F.col("query"), F.col("vec"))
-    return search.top_per_query(met.select("query_id", F.col("id").alias("item_id"), F.round(score, 9).alias("score")), k)
+    asked = queries.select("id", "vec").mapInArrow(probing(np.array(centroids, float), config.distance_metric, config.ivf_nprobe), "id string, vec array<float>, cell int")
+    return blocks.block_search(blocks.pack(asked, "cell"), blocks.pack(celled, "cell"), k, config.distance_metric, on_key=True)
+
+
+def stored_cells(vectors: DataFrame, centroids: list[list[float]], metric: str, path: str) -> DataFrame:
+    """Assigned vectors, written by cell: a search reads its cells' folders only."""
+    cells = assign(vectors, centroids, metric).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(blocks.PACKERS)))
+    return scratch.written(cells, path, partition_by="cell")
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Trained cells on shared files, and the changes that came since as a buffer.
+
+    A change hides the row of its id in the cells. All of the buffer is compared
+    in a search; once it holds ``ivf_seal_threshold`` rows it is sealed: the cells
+    are written anew with it, under the same centroids.
+    """
+
+    centroids: list[list[float]]
+    celled: DataFrame
+    buffer: DataFrame | None = None
+
+    @classmethod
+    def build(cls, vectors: DataFrame, config: EngineConfig, folder: Callable[[], str]) -> CellIndex:
+        centroids = train(vectors, config.distance_metric, config.ivf_nlist)
+        return cls(centroids, stored_cells(vectors, centroids, config.distance_metric, folder()))
+
+    def changed(self, more: DataFrame, config: EngineConfig, folder: Callable[[], str]) -> CellIndex:
+        """After changes (id, vec, seq); a null vector deletes."""
+        held = more if self.buffer is None else self.buffer.select("id", "vec", "seq").unionByName(more)
+        held = scratch.written(latest(held).select("id", "vec", V.norm(F.col("vec")).alias("norm"), "seq"), folder())
+        if not config.ivf_seal_threshold or held.count() < config.ivf_seal_threshold:
+            return replace(self, buffer=held)
+        whole = self.celled.drop("cell").join(held.select("id"), "id", "left_anti").unionByName(held.where("vec is not null").drop("seq"))
+        return replace(self, celled=stored_cells(whole, self.centroids, config.distance_metric, folder()), buffer=None)
+
+    def search(self, query: list[float], k: int, config: EngineConfig, metadata: DataFrame | None = None, filter_text: str = "", without: str | None = None) -> DataFrame:
+        return cell_search(self.celled, self.centroids, query, k, config, metadata, filter_text, self.buffer, without)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries, and the share of their exact answers (query_id, item_id)
+    that were found."""
+    both = exact.select("query_id", "item_id").join(found.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def quantizer(vectors: DataFrame) -> DataFrame:

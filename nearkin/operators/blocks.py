@@ -20,33 +20,38 @@ BLOCK = 2048
 #: Decimals that scores are rounded to before they are ranked, so that ties
 #: don't depend on the order of a sum.
 DECIMALS = 9
-BLOCK_TYPE = "ids array<string>, width int, data binary"
+BLOCK_TYPE = "key int, ids array<string>, width int, data binary"
+#: Tasks that the rows of one key are packed by, so that a crowded one is no single task.
+PACKERS = 8
 
 
 def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, width, vector) rows, sorted by width, to blocks of one width."""
+    """(key, id, width, vector) rows, sorted by key and width, to blocks of one of each."""
 
-    def block(ids: list[str], width: int, rows: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), pa.array([width], pa.int32()), pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["ids", "width", "data"])
+    def block(key: int, ids: list[str], width: int, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([ids], pa.list_(pa.string())), pa.array([width], pa.int32()), pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["key", "ids", "width", "data"])
 
     ids: list[str] = []
     rows: list[np.ndarray] = []
-    width = -1
+    last = (-1, -1)
     for b in batches:
-        for item, w, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            if ids and (w != width or len(ids) == BLOCK):
-                yield block(ids, width, rows)
+        for key, item, width, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            if ids and ((key, width) != last or len(ids) == BLOCK):
+                yield block(last[0], ids, last[1], rows)
                 ids, rows = [], []
-            width = w
+            last = (key, width)
             ids.append(item)
             rows.append(vec.values.to_numpy(zero_copy_only=False).astype("<f8"))
     if ids:
-        yield block(ids, width, rows)
+        yield block(last[0], ids, last[1], rows)
 
 
-def pack(vectors: DataFrame) -> DataFrame:
-    rows = vectors.select("id", F.size("vec").alias("width"), F.col("vec").cast("array<double>").alias("vec"))
-    return rows.sortWithinPartitions("width").mapInArrow(packing, BLOCK_TYPE)
+def pack(vectors: DataFrame, key: str | None = None) -> DataFrame:
+    """Blocks (key, ids, width, data); with a ``key`` column, blocks of one key each."""
+    rows = vectors.select((F.col(key) if key else F.lit(0)).cast("int").alias("key"), "id", F.size("vec").alias("width"), F.col("vec").cast("array<double>").alias("vec"))
+    if key:
+        rows = rows.repartition("key", F.pmod(F.xxhash64("id"), F.lit(PACKERS)))
+    return rows.sortWithinPartitions("key", "width").mapInArrow(packing, BLOCK_TYPE)
 
 
 def similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -95,6 +100,17 @@ def searching(k: int, metric: str):
     return run
 
 
+def block_search(q: DataFrame, x: DataFrame, k: int, metric: str, on_key: bool = False) -> DataFrame:
+    """(query_id, item_id, score, rank) of packed queries over packed rows: every
+    query block meets every row block of its width, or those of its key alone."""
+    from nearkin.operators.search import top_per_query
+
+    q = q.select("key", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
+    met = q.join(x, "key") if on_key else q.crossJoin(x.drop("key"))
+    met = met.where("q_width = width").select("q_ids", "q_width", "q_data", "ids", "data")
+    return top_per_query(met.mapInArrow(searching(k, metric), "query_id string, item_id string, score double"), k)
+
+
 def batch_vectors(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, item_id, score, rank) for each query over all vectors.
 
@@ -102,9 +118,4 @@ def batch_vectors(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     queries only where it finds them small. Narrow to cells first (see ``ann``)
     where all pairs are too many.
     """
-    from nearkin.operators.search import top_per_query
-
-    q = pack(queries).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    x = pack(vectors)
-    met = q.crossJoin(x).where("q_width = width").select("q_ids", "q_width", "q_data", "ids", "data")
-    return top_per_query(met.mapInArrow(searching(k, metric), "query_id string, item_id string, score double"), k)
+    return block_search(pack(queries), pack(vectors), k, metric)

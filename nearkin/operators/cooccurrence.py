@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.config import EngineConfig
-from nearkin.operators.events import arrival_rank
+from nearkin.operators.events import arrival_rank, ring_buffer
 
 # The least temporal factor, and the least score that decay keeps
 # without a minimum support.
@@ -19,27 +19,27 @@ LEAST_SCORE = 1e-6
 PRUNE_EVERY = 10
 
 
-def pairs(accepted: DataFrame, buffer: int) -> DataFrame:
+def pairs(accepted: DataFrame, buffer: int, after: int | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Each event with the up to ``buffer`` events before it in its context.
 
-    Rows (ctx, item_a, score_a, ts_a, item_b, score_b, ts_b, type_b), b the new
-    event. Contexts are cut into runs of ``buffer`` events; an event can only
-    meet its own run and the one before, so the join is on (ctx, run), has at
-    most ``buffer`` rows a key, and a crowded context is spread over many keys.
+    Rows (ctx, item_a, score_a, ts_a, item_b, score_b, ts_b, type_b) and the new
+    event b's ``carried`` columns; b came ``after`` a given change. Contexts are cut into runs
+    of ``buffer`` events; an event can only meet its own run and the one before,
+    so the join is on (ctx, run), has at most ``buffer`` rows a key, and a
+    crowded context is spread over many keys.
     """
     ranked = arrival_rank(accepted).withColumn("run", F.floor((F.col("rn") - 1) / buffer))
     names = ("item_id", "score", "ts", "type", "rn")
-    new = ranked.select("ctx", "run", *(F.col(c).alias(f"{c.removesuffix('_id')}_b") for c in names))
+    new = ranked if after is None else ranked.where(F.col("seq") > after)
+    new = new.select("ctx", "run", *(F.col(c).alias(f"{c.removesuffix('_id')}_b") for c in names), *carried)
     old = ranked.select("ctx", F.explode(F.array(F.col("run"), F.col("run") + 1)).alias("run"), *(F.col(c).alias(f"{c.removesuffix('_id')}_a") for c in names[:3]), F.col("rn").alias("rn_a"))
     gap = F.col("rn_b") - F.col("rn_a")
     met = new.join(old, ["ctx", "run"]).where(gap.between(1, buffer) & (F.col("item_a") != F.col("item_b")))
-    return met.select("ctx", "item_a", "score_a", "ts_a", "item_b", "score_b", "ts_b", "type_b")
+    return met.select("ctx", "item_a", "score_a", "ts_a", "item_b", "score_b", "ts_b", "type_b", *carried)
 
 
 def batch_pairs(accepted: DataFrame, buffer: int) -> DataFrame:
     """All pairs inside each context's final buffer, older event first."""
-    from nearkin.operators.events import ring_buffer
-
     return pairs(ring_buffer(accepted, buffer).drop("rn"), buffer)
 
 
@@ -50,23 +50,24 @@ def temporal_factor(half_life: float) -> Column:
     return fade("ts_a") * fade("ts_b")
 
 
-def contributions(met: DataFrame, config: EngineConfig) -> DataFrame:
-    """Undirected (item1, item2, score) parts of edges."""
+def contributions(met: DataFrame, config: EngineConfig, *keys: str) -> DataFrame:
+    """Undirected (*keys, item1, item2, score) parts of edges."""
+    ends = [*keys, F.col("item_a").alias("item1"), F.col("item_b").alias("item2")]
     weight = (F.col("score_a").cast("long") * F.col("score_b")).cast("double")
     if config.temporal_cooccurrence:
         weight = weight * temporal_factor(config.temporal_half_life_sec)
-    parts = met.select(F.col("item_a").alias("item1"), F.col("item_b").alias("item2"), weight.alias("score")).where("score <> 0")
+    parts = met.select(*ends, weight.alias("score")).where("score <> 0")
     if config.negative_signals:  # these count even where they are zero
         against = -F.col("score_a").cast("double") * F.lit(float(config.negative_weight))
-        parts = parts.unionByName(met.where("type_b = 'DEL'").select(F.col("item_a").alias("item1"), F.col("item_b").alias("item2"), against.alias("score")))
+        parts = parts.unionByName(met.where("type_b = 'DEL'").select(*ends, against.alias("score")))
     return parts
 
 
-def both_ways(parts: DataFrame) -> DataFrame:
+def both_ways(parts: DataFrame, *keys: str) -> DataFrame:
     """Summed once per unordered pair, then given in both directions."""
-    one = parts.groupBy(F.least("item1", "item2").alias("item1"), F.greatest("item1", "item2").alias("item2")).agg(F.sum("score").alias("score"))
+    one = parts.groupBy(*keys, F.least("item1", "item2").alias("item1"), F.greatest("item1", "item2").alias("item2")).agg(F.sum("score").alias("score"))
     ends = F.explode(F.array(F.struct("item1", "item2"), F.struct(F.col("item2").alias("item1"), F.col("item1").alias("item2")))).alias("e")
-    return one.select(ends, "score").select("e.item1", "e.item2", "score")
+    return one.select(*keys, ends, "score").select(*keys, "e.item1", "e.item2", "score")
 
 
 def build_edges(accepted: DataFrame, config: EngineConfig) -> DataFrame:
@@ -74,6 +75,19 @@ def build_edges(accepted: DataFrame, config: EngineConfig) -> DataFrame:
     return both_ways(contributions(pairs(accepted, config.ctx_buffer_size), config))
 
 
+def added_edges(stored: DataFrame, more: DataFrame, after: int, config: EngineConfig) -> DataFrame:
+    """What ``more`` accepted events, all after ``after``, add to the graph of
+    those ``stored``: only the last events of their contexts are looked at."""
+    touched = stored.join(more.select("ctx").distinct(), "ctx", "left_semi")
+    near = ring_buffer(touched, config.ctx_buffer_size).drop("rn").unionByName(more)
+    return both_ways(contributions(pairs(near, config.ctx_buffer_size, after), config))
+
+
+def limited(edges: DataFrame, config: EngineConfig) -> DataFrame:
+    """The limits that hold whenever events come in: support and neighbours."""
+    return prune(edges, config.max_neighbors_per_item, config.min_support)
+
+
 def merge_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     """Sum of two edge tables."""
     return edges.unionByName(more).groupBy("item1", "item2").agg(F.sum("score").alias("score"))
@@ -105,9 +119,9 @@ def prune(edges: DataFrame, max_neighbors: int = 0, min_support: float = 0.0) ->
     return mine.join(other, ["item1", "item2"], "left_semi")
 
 
-def maintain(edges: DataFrame, config: EngineConfig, cycles: int) -> DataFrame:
-    """What ``cycles`` decay intervals leave, with a pruning after each tenth."""
-    done = 0
+def maintain(edges: DataFrame, config: EngineConfig, cycles: int, done: int = 0) -> DataFrame:
+    """What ``cycles`` more decay intervals leave, with a pruning after each tenth."""
+    cycles += done
     while done < cycles:
         step = min(PRUNE_EVERY - done % PRUNE_EVERY, cycles - done)
         edges = decay(edges, config.decay_alpha, config.min_support, step)
@@ -143,5 +157,3 @@ def set_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
 
 def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.countDistinct("item1").alias("tracked_items"), F.floor(F.count(F.lit(1)) / 2).alias("pairs"))
-
-

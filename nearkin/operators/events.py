@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +43,49 @@ def scan_adds(window: int):
     """Rows sorted by key and arrival to the same rows with ``dup``.
 
     A repeat is one no later than the last accepted event's time plus the
-    window; it doesn't move that time. Only the current key's time is kept.
+    window; it doesn't move that time. Only the current key's time is kept. Keys
+    that stand once are passed over; where a key's times ascend, a search jumps
+    to the next event that is accepted.
     """
 
+    def repeats(ts: np.ndarray, dup: np.ndarray, anchor: int) -> int:
+        """Marks one key's rows after the accepted one; the last accepted time."""
+        if (ts[1:] < ts[:-1]).any():
+            for i, t in enumerate(ts.tolist()):
+                if t <= anchor + window:
+                    dup[i] = True
+                else:
+                    anchor = t
+            return anchor
+        at = 0
+        while at < len(ts):
+            to = at + int(np.searchsorted(ts[at:], anchor + window, "right"))
+            dup[at:to] = True
+            if to < len(ts):
+                anchor = int(ts[to])
+            at = to + 1
+        return anchor
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, anchor = None, 0
         for b in batches:
-            ctx, item, score, ts = (b.column(i).to_pylist() for i in range(4))
-            dup = np.zeros(b.num_rows, bool)
-            for i, k in enumerate(zip(ctx, item, score, strict=True)):
-                if k == key and ts[i] <= anchor + window:
-                    dup[i] = True
-                else:
-                    key, anchor = k, ts[i]
+            if not b.num_rows:
+                continue
+            ts, dup = b.column(3).to_numpy(), np.zeros(b.num_rows, bool)
+            same = np.ones(b.num_rows, bool)
+            for c in b.columns[:3]:
+                same[1:] &= pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            same[0] = key == tuple(c[0].as_py() for c in b.columns[:3])
+            if same[0]:
+                to = int(np.argmin(same)) if not same.all() else b.num_rows
+                anchor = repeats(ts[:to], dup[:to], anchor)
+            edges = np.append(np.flatnonzero(~same), b.num_rows)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if high - low > 1:
+                    anchor = repeats(ts[low + 1 : high], dup[low + 1 : high], int(ts[low]))
+                elif high == b.num_rows:
+                    anchor = int(ts[low])
+            key = tuple(c[-1].as_py() for c in b.columns[:3])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dup)], names=[*b.schema.names, "dup"])
 
     return run

@@ -39,7 +39,7 @@ def marks(window: int) -> str:
 
 PAIRS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY seq) AS rn FROM accepted),
 pairs AS (
-  SELECT a.ctx, a.item_id AS item_a, a.score AS score_a, a.ts AS ts_a, b.item_id AS item_b, b.score AS score_b, b.ts AS ts_b, b.type AS type_b
+  SELECT a.ctx, a.item_id AS item_a, a.score AS score_a, a.ts AS ts_a, b.item_id AS item_b, b.score AS score_b, b.ts AS ts_b, b.type AS type_b, b.seq AS seq_b
   FROM ranked a JOIN ranked b ON a.ctx = b.ctx AND b.rn - a.rn BETWEEN 1 AND 50 AND a.item_id <> b.item_id)"""
 
 PLAIN = "CAST(score_a AS DOUBLE) * score_b"
@@ -56,6 +56,8 @@ edges AS (
 
 BASE = f"WITH RECURSIVE {EV}, {marks(60)}"
 GRAPH = f"{BASE}, {PAIRS}, {edge_tables()}"
+#: The first half of the arrivals counts half.
+HALF_FADED = f"{PLAIN} * CASE WHEN seq_b <= (SELECT (min(seq) + max(seq)) // 2 FROM ev) THEN 0.5 ELSE 1.0 END"
 NEGATIVE_GRAPH = f"{BASE}, {PAIRS}, {edge_tables(PLAIN, '-CAST(score_a AS DOUBLE) * 0.5')}"
 
 
@@ -228,7 +230,7 @@ ORACLES = {
     "q9_batch_fusion": f"""{GRAPH}, {VEC}, {COUNTS}, be AS (SELECT query_id, item_id, score FROM {per_query(EVENT_ROWS, 30)}), bv AS (SELECT query_id, item_id, score FROM {per_query(all_scores(where='TRUE'), 30)})
         SELECT query_id, item_id, round(score, 4) AS score FROM {per_query(fusion('be', 'bv', ADAPTIVE_ALPHA, f'(1 - {ADAPTIVE_ALPHA})'), 10, 15)}""",
     "v1_vector_functions": f"""WITH {VEC} SELECT a.id, round({dot('a.vec', 'b.vec')}, 6) AS dot, round(a.norm, 6) AS norm, round({SCORE['cosine']}, 6) AS cosine,
-        round({distance('a.vec', 'b.vec')}, 6) AS distance, round({SCORE['l2']}, 6) AS l2, 1.0::DOUBLE AS unit FROM vecs a, vecs b WHERE a.n < 50 AND b.id = '7'""",
+        round({distance('a.vec', 'b.vec')}, 6) AS distance, round({SCORE['l2']}, 6) AS l2, 1.0::DOUBLE AS unit FROM vecs a, vecs b WHERE b.id = '7'""",
     "v6_quantize": f"""WITH {VEC}, flat AS (SELECT id, unnest(vec) AS x, unnest(range(0, len(vec))) AS dim FROM vecs),
         bounds AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM flat GROUP BY dim)
         SELECT id, CAST(sum(CASE WHEN hi - lo < 1e-10 THEN 128 ELSE floor(greatest(0.0, least(1.0, (x - lo) / (hi - lo))) * 255 + 0.5) END * (dim + 1)) AS BIGINT) AS weighted
@@ -241,7 +243,7 @@ ORACLES = {
     "v11_cell_assign": f"WITH {VEC}, {CELLS} SELECT id, cell FROM celled",
     "v12_cell_search": f"WITH {VEC}, {CELLS}, hit AS (SELECT * FROM celled WHERE cell IN (SELECT cell FROM near WHERE id = '7' AND r <= 3)) {shown(all_scores(rows='hit'))}",
     "v12_batch_cell_search": f"""WITH {VEC}, {CELLS}, met AS (SELECT a.id AS query_id, b.id AS item_id, {SCORE['cosine']} AS score
-        FROM celled a JOIN near ON near.id = a.id AND near.r <= 3 JOIN celled b ON b.cell = near.cell AND a.id <> b.id WHERE a.n % 10 = 0)
+        FROM celled a JOIN near ON near.id = a.id AND near.r <= 3 JOIN celled b ON b.cell = near.cell AND a.id <> b.id)
         SELECT query_id, item_id, round(score, 4) AS score, rank FROM {per_query('SELECT * FROM met', 10)}""",
     "v13_buffered_search": f"WITH {VEC}, mixed AS (SELECT id, CASE WHEN n % 6 = 1 THEN list_transform(vec, lambda x: -x) ELSE vec END AS vec, norm FROM vecs) {shown(all_scores(rows='mixed'))}",
     "v14_graph_index": f"WITH {VEC} {shown(all_scores('cosine'))}",
@@ -257,3 +259,9 @@ _EVENTS = ONE_EVENTS.replace("AND item1 = '7'", f"AND item1 = '7' AND item2 IN {
 _VECTORS = f"(SELECT '7' AS query_id, * FROM {best(all_scores(where=f'''a.id = '7' AND b.id IN {_KEPT}'''), 30)})"
 ORACLES["a8_command"] = f"""{GRAPH}, {VEC}, {META}, {COUNTS} SELECT item_id, round(score, 4) AS score
     FROM {best(fusion(_EVENTS, _VECTORS, '0.6', '0.4'), 10)} WHERE score >= 0.05"""
+ORACLES["c7_ingest_cap"] = ORACLES["c7_prune"]
+ORACLES["c9_decay_then_event"] = f"{BASE}, {PAIRS}, {edge_tables(HALF_FADED)} SELECT item1, item2, round(score, 3) AS score FROM edges"
+ORACLES["e10_evicted_events"] = f"{BASE} SELECT ctx, count(*) AS events FROM accepted GROUP BY ctx ORDER BY max(seq) DESC, ctx LIMIT 40"
+ORACLES["q5_sample_membership"] = "SELECT least(10, count(*) - 1) AS results, TRUE AS exact FROM embeddings"
+ORACLES["v9_cell_sizes"] = "SELECT count(*) AS rows, TRUE AS within, count(DISTINCT vec_id) AS ids FROM embeddings"
+ORACLES["v12_cell_recall"] = "SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0"

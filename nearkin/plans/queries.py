@@ -5,8 +5,6 @@ Each takes (spark, folder). ``plans.oracles`` has their SQL.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +15,7 @@ from nearkin.config import EngineConfig
 from nearkin.functions import vector as V
 from nearkin.functions.meta import meta_map, typed
 from nearkin.operators import ann, blocks, cooccurrence, events, filters, search, vectors
-from nearkin.sources import changelog, snapshot, tables
+from nearkin.sources import changelog, scratch, snapshot, tables
 from nearkin.streaming import ingest
 
 CONFIG = EngineConfig(max_top_k=1000)
@@ -48,12 +46,6 @@ def meta(spark, sf):
     return tables.metadata_of(tables.read(spark, sf, "embeddings"))
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="nearkin-")
-    return f"{base.rstrip('/')}/nearkin/{name}-{uuid.uuid4().hex}"
-
-
 # -- sources -----------------------------------------------------------------
 
 
@@ -102,14 +94,14 @@ def s2_json_ingest(spark, sf):
 
 
 def s10_snapshot(spark, sf):
-    path = shared(spark, "snapshot")
+    path = scratch.shared(spark, "snapshot")
     held = {"events": accepted(spark, sf), "edges": edges(spark, sf), "vectors": vecs(spark, sf), "metadata": meta(spark, sf)}
     snapshot.save(held, path, 0, 1)
     return snapshot.verify(spark, path)
 
 
 def s11_snapshot_load(spark, sf):
-    path = shared(spark, "snapshot")
+    path = scratch.shared(spark, "snapshot")
     snapshot.save({"events": accepted(spark, sf), "edges": edges(spark, sf)}, path, 0, 1)
     stores, _ = snapshot.load(spark, path)
     return search.rounded(search.by_events(stores["edges"], ITEM, K, CONFIG))
@@ -124,7 +116,7 @@ def log_rows(spark, sf):
 
 
 def s14_wal_replay(spark, sf):
-    path = shared(spark, "log")
+    path = scratch.shared(spark, "log")
     rows = log_rows(spark, sf)
     changelog.append(rows.where("seq <= 2000"), path, 1)
     changelog.append(rows.where("seq > 2000"), path, 2)
@@ -135,7 +127,7 @@ def s14_wal_replay(spark, sf):
 
 
 def s14_wal_vectors(spark, sf):
-    path = shared(spark, "log")
+    path = scratch.shared(spark, "log")
     changelog.append(log_rows(spark, sf), path, 1)
     return changelog.replay(changelog.read(spark, path), CONFIG)["vectors"].select("id", F.size("vec").alias("width"), F.round("norm", 4).alias("norm"))
 
@@ -257,7 +249,7 @@ def q9_batch_fusion(spark, sf):
 
 def v1_functions(spark, sf):
     v = vecs(spark, sf)
-    a, b = v.where("cast(id as long) < 50"), v.where(F.col("id") == ITEM).select(F.col("vec").alias("other"))
+    a, b = v, v.where(F.col("id") == ITEM).select(F.col("vec").alias("other"))
     x, y = F.col("vec"), F.col("other")
     fields = {"dot": V.dot(x, y), "norm": V.norm(x), "cosine": V.cosine(x, y), "distance": V.l2_distance(x, y), "l2": V.l2_similarity(x, y), "unit": V.norm(V.normalized(F.transform(V.doubles(x), lambda t: t * 3)))}
     return a.crossJoin(F.broadcast(b)).select("id", *(F.round(c, 6).alias(n) for n, c in fields.items()))
@@ -292,7 +284,7 @@ def v11_assign(spark, sf):
 
 def v12_cell_search(spark, sf):
     centroids, celled = cells(spark, sf)
-    path = shared(spark, "cells")
+    path = scratch.shared(spark, "cells")
     celled.write.partitionBy("cell").parquet(path)
     stored = spark.read.schema("id string, vec array<float>, norm double, cell int").parquet(path)
     query = search.fetch_vector(vecs(spark, sf), ITEM)
@@ -300,9 +292,35 @@ def v12_cell_search(spark, sf):
 
 
 def v12_batch_cell_search(spark, sf):
+    """All rows as queries, each in its three nearest cells."""
     centroids, celled = cells(spark, sf)
-    queries = celled.where("cast(id as long) % 10 = 0")
-    return search.rounded(ann.batch_cell_search(celled, centroids, queries, K, replace(CONFIG, ivf_nprobe=3)))
+    return search.rounded(ann.batch_cell_search(celled, centroids, celled, K, replace(CONFIG, ivf_nprobe=3)))
+
+
+def v12_cell_recall(spark, sf):
+    """Recall of trained cells against exact search, of queries divisible by 100."""
+    v = vecs(spark, sf)
+    config = replace(CONFIG, ivf_nlist=0)
+    index = ann.CellIndex.build(v, config, lambda: scratch.shared(spark, "cells"))
+    config = replace(config, ivf_nprobe=ann.tuned_probes(v, index.centroids, config.distance_metric))
+    queries = v.where("cast(id as long) % 100 = 0")
+    found = ann.batch_cell_search(index.celled, index.centroids, queries, K, config)
+    return ann.recall(found, blocks.batch_vectors(v, queries, K)).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def v9_cell_sizes(spark, sf):
+    v = vecs(spark, sf)
+    celled = ann.assign(v, ann.train(v, "cosine", 8), "cosine")
+    return celled.agg(F.count(F.lit(1)).alias("rows"), (F.count_distinct("cell") <= 8).alias("within"), F.count_distinct("id").alias("ids"))
+
+
+def q5_sample_membership(spark, sf):
+    """A sample's answers: how many, and whether each has its exact score."""
+    v = vecs(spark, sf)
+    exact = search.by_item_vector(v, ITEM, 1000, replace(CONFIG, max_top_k=1000)).withColumnRenamed("score", "exact")
+    found = search.by_item_vector(v, ITEM, K, replace(CONFIG, sample_size=100))
+    near = F.coalesce(F.abs(F.col("score") - F.col("exact")) < 1e-9, F.lit(False))
+    return found.join(exact, "item_id", "left").agg(F.count(F.lit(1)).alias("results"), F.min(near | F.col("exact").isNull()).alias("exact"))
 
 
 def v13_buffered_search(spark, sf):
@@ -330,13 +348,40 @@ def v18_tiered(spark, sf):
 
 def st_stream_edges(spark, sf):
     """The graph from a stream of the events' file."""
-    path = shared(spark, "stream")
+    path = scratch.shared(spark, "stream")
     table = tables.read(spark, sf, "events")
     stream = tables.events_of(spark.readStream.schema(table.schema).parquet(f"{sf}/events.parque[t]"))
     ingest.start(stream, CONFIG, f"{path}/deltas", f"{path}/checkpoint").awaitTermination()
     return ingest.edges(spark, f"{path}/deltas")
 
 
+def halves(spark, sf):
+    """The events before and after the middle of the arrivals, and the middle."""
+    e = raw_events(spark, sf)
+    middle = e.agg(F.floor((F.min("seq") + F.max("seq")) / 2).cast("long")).first()[0]
+    return e.where(F.col("seq") <= middle), e.where(F.col("seq") > middle)
+
+
+def c7_ingest_cap(spark, sf):
+    """Limits on neighbours and support hold as soon as events are in."""
+    config = replace(CONFIG, max_neighbors_per_item=20, min_support=5000.0)
+    return engine.Engine(spark, config).load_events(raw_events(spark, sf)).edges
+
+
+def c9_decay_then_event(spark, sf):
+    """Half of the events, a decay, the other half: what faded stays faded."""
+    first, second = halves(spark, sf)
+    e = engine.Engine(spark, replace(CONFIG, decay_alpha=0.5)).load_events(first).maintain()
+    e.add_events(second)
+    return shown(e.edges)
+
+
+def e10_evicted_events(spark, sf):
+    """Only the contexts touched last keep events."""
+    e = engine.Engine(spark, replace(CONFIG, max_contexts=40)).load_events(raw_events(spark, sf))
+    return e.events.groupBy("ctx").agg(F.count(F.lit(1)).alias("events"))
+
+
 def a1_info(spark, sf):
     return engine.info(accepted(spark, sf), edges(spark, sf), vecs(spark, sf), meta(spark, sf), CONFIG)
 
@@ -404,6 +449,12 @@ QUERIES = {
     "v11_cell_assign": v11_assign,
     "v12_cell_search": v12_cell_search,
     "v12_batch_cell_search": v12_batch_cell_search,
+    "v12_cell_recall": v12_cell_recall,
+    "v9_cell_sizes": v9_cell_sizes,
+    "q5_sample_membership": q5_sample_membership,
+    "c7_ingest_cap": c7_ingest_cap,
+    "c9_decay_then_event": c9_decay_then_event,
+    "e10_evicted_events": e10_evicted_events,
     "v13_buffered_search": v13_buffered_search,
     "v14_graph_index": v14_graph_index,
     "v18_tiered_search": v18_tiered,

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from nearkin.config import EngineConfig, EngineError
 from nearkin.functions.meta import META_TYPE
-from nearkin.operators import cooccurrence, vectors
+from nearkin.operators import cooccurrence, events, vectors
+from nearkin.sources import scratch
 
 OPS = ("VECSET", "VECDEL", "EVENT", "METASET", "METADEL", "MAINTAIN")
-LOG = f"seq long, ts_us long, op string, id string, ctx string, item_id string, score int, ts long, type string, vec array<float>, meta {META_TYPE}, crc long"
+FIELDS = f"seq long, ts_us long, op string, id string, ctx string, item_id string, score int, ts long, type string, vec array<float>, meta {META_TYPE}"
+LOG = f"{FIELDS}, crc long"
 
 
 def sealed(rows: DataFrame) -> DataFrame:
@@ -64,13 +66,32 @@ def truncatable(log: DataFrame, seq: int) -> DataFrame:
     return last.withColumn("newest", newest).where((F.col("last") <= seq) & (F.col("segment") < F.col("newest"))).select("segment")
 
 
-def replay(log: DataFrame, config: EngineConfig, base: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def segments(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in scratch.folders(spark, path) if n.startswith("segment=")]
+
+
+def truncate(spark: SparkSession, path: str, seq: int) -> list[str]:
+    """Delete the closed segments that a snapshot up to ``seq`` holds; their names."""
+    if not segments(spark, path):
+        return []
+    gone = sorted(f"segment={r['segment']}" for r in truncatable(read(spark, path), seq).collect())
+    for name in gone:
+        scratch.remove(spark, f"{path}/{name}")
+    return gone
+
+
+def replay(log: DataFrame, config: EngineConfig, base: dict[str, DataFrame] | None = None, folder: str | None = None, accepted: bool = True) -> dict[str, DataFrame]:
     """The stores after the log, on top of a snapshot's.
 
-    Logged events were accepted when they were written, so they aren't checked
-    for repeats again. A maintenance row fades and prunes what came before it.
+    Logged events that were ``accepted`` when they were written aren't checked
+    for repeats again. A maintenance row fades and prunes what came before it:
+    every pair is worked out once, under the number of the first maintenance
+    after it, and the graph is written below ``folder`` at each of these, so the
+    work grows with the log and no plan does.
     """
     base = base or {}
+    spark = log.sparkSession
+    folder = folder or scratch.shared(spark, "replay")
     vec = log.where("op in ('VECSET', 'VECDEL')").select("id", "vec", "seq")
     if "vectors" in base:
         vec = vec.unionByName(base["vectors"].select("id", "vec", F.lit(0).cast("long").alias("seq")))
@@ -79,31 +100,28 @@ def replay(log: DataFrame, config: EngineConfig, base: dict[str, DataFrame] | No
     meta = log.where("op in ('METASET', 'METADEL')").select("id", "meta", "seq").unionByName(gone)
     if "metadata" in base:
         meta = meta.unionByName(base["metadata"].select("id", "meta", F.lit(0).cast("long").alias("seq")))
-    events = log.where("op = 'EVENT'").select("ctx", "item_id", "score", "ts", "type", "seq")
-    earlier = base.get("events")
-    whole = earlier.unionByName(events) if earlier is not None else events
-    edges, start = base.get("edges"), 0
-    if earlier is not None:  # what the snapshot's edges hold already
+    new = log.where("op = 'EVENT'").select("ctx", "item_id", "score", "ts", "type", "seq")
+    earlier, start = base.get("events"), 0
+    whole = new
+    if earlier is not None:
         start = earlier.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        whole = earlier.unionByName(new.where(F.col("seq") > start))
+    if not accepted:
+        whole = events.accept(whole, config)
+
     stops = [r["seq"] for r in log.where("op = 'MAINTAIN'").select("seq").orderBy("seq").collect()]
-    for cycle, stop in enumerate([*stops, None], 1):
-        part = new_edges(whole, config, start, stop)
+    spans = [(i, low + 1, high) for i, (low, high) in enumerate(zip([-1, *stops], [*stops, (1 << 63) - 1], strict=True))]
+    spans = spark.createDataFrame(spans, "cycle int, low long, high long")
+    numbered = whole.join(F.broadcast(spans), F.col("seq").between(F.col("low"), F.col("high"))).drop("low", "high")
+    met = cooccurrence.pairs(numbered, config.ctx_buffer_size, start or None, ("cycle",))
+    parts = cooccurrence.both_ways(cooccurrence.contributions(met, config, "cycle"), "cycle")
+    if stops:
+        parts = scratch.written(parts, f"{folder}/parts", partition_by="cycle")
+    edges = base.get("edges")
+    for cycle in range(len(stops) + 1):
+        part = parts.where(F.col("cycle") == cycle).select("item1", "item2", "score")
         edges = part if edges is None else cooccurrence.merge_edges(edges, part)
-        if stop is not None:
-            edges = cooccurrence.decay(edges, config.decay_alpha, config.min_support)
-            if cycle % cooccurrence.PRUNE_EVERY == 0:
-                edges = cooccurrence.prune(edges, config.max_neighbors_per_item, config.min_support)
-            start = stop
+        if cycle < len(stops):
+            edges = cooccurrence.maintain(edges, config, 1, cycle)
+            edges = scratch.written(edges, f"{folder}/edges-{cycle}")
     return {"vectors": store, "metadata": vectors.metadata_store(meta, store), "events": whole, "edges": edges}
-
-
-def new_edges(events: DataFrame, config: EngineConfig, after: int, upto: int | None) -> DataFrame:
-    """What the events after one change and up to another add to the graph."""
-    marked = events.withColumn("item_id", F.concat_ws("\x01", F.col("seq").cast("string"), "item_id"))
-    met = cooccurrence.pairs(marked, config.ctx_buffer_size)
-    seq = F.split("item_b", "\x01", 2)[0].cast("long")
-    name = lambda c: F.split(c, "\x01", 2)[1].alias(c)
-    met = met.where(seq > after) if upto is None else met.where(seq.between(after + 1, upto))
-    rest = [c for c in met.columns if c not in ("item_a", "item_b")]
-    met = met.select(name("item_a"), name("item_b"), *rest).where("item_a <> item_b")
-    return cooccurrence.both_ways(cooccurrence.contributions(met, config))

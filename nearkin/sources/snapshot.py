@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearkin.config import EngineError
+from nearkin.sources import scratch
 
 VERSION = 1
 MANIFEST = "version int, created long, last_seq long, config string, stores map<string,struct<rows:bigint,checksum:bigint,schema:string>>"
@@ -69,3 +70,11 @@ def retain(names: list[str], keep: int) -> list[str]:
     """Automatic snapshots to delete: all but the newest; others are never named."""
     own = sorted(n for n in names if n.startswith("auto_"))
     return own[: max(0, len(own) - keep)] if keep else []
+
+
+def prune(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Delete the automatic snapshots of a folder but the newest; their names."""
+    gone = retain(scratch.folders(spark, folder), keep)
+    for name in gone:
+        scratch.remove(spark, f"{folder}/{name}")
+    return gone

@@ -199,3 +199,24 @@ def test_empty_tables(spark):
     assert cooccurrence.build_edges(e, CONFIG).count() == 0
     stats = events.event_stats(e, CONFIG).first()
     assert (stats.total_events, stats.stored_events) == (0, 0)
+
+
+def test_repeats_are_found_over_batch_ends():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted((f"c{rng.integers(3)}", f"i{rng.integers(2)}", int(rng.integers(2)), n) for n in range(200))
+    times = [int(t) for t in np.where(np.arange(200) < 100, np.arange(200) * 7, rng.integers(0, 900, 200))]
+    want, last = [], {}
+    for *key, n in rows:
+        k = tuple(key)
+        dup = k in last and times[n] <= last[k] + 30
+        want.append(dup)
+        if not dup:
+            last[k] = times[n]
+    names = ["ctx", "item_id", "score", "ts", "type", "seq"]
+    whole = pa.RecordBatch.from_pydict(dict(zip(names, [*map(list, zip(*[r[:3] for r in rows], strict=True)), [times[r[3]] for r in rows], ["ADD"] * 200, [r[3] for r in rows]], strict=True)))
+    for size in (1, 3, 50, 200):
+        parts = [whole.slice(i, size) for i in range(0, 200, size)]
+        assert [d for b in events.scan_adds(30)(iter(parts)) for d in b.column("dup").to_pylist()] == want
