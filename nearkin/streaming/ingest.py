@@ -3,7 +3,9 @@
 State is kept per context: the last events, the times of accepted additions and
 the items' states. Each new event gives its parts of edges at once; a batch's
 parts are summed and written under its number, so a batch that is run again
-replaces itself. There is no watermark: late events count as they arrive.
+replaces itself. There is no watermark: late events count as they arrive. A timed
+job folds the parts into a stored graph and fades it, so a read never sums more
+than the batches since.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from nearkin.config import EngineConfig
 from nearkin.operators import cooccurrence
 from nearkin.operators.events import EVENT_COLUMNS, validate
+from nearkin.sources import scratch
 
+EDGES = "item1 string, item2 string, score double"
 PAIRS = "ctx string, item_a string, score_a int, ts_a long, item_b string, score_b int, ts_b long, type_b string"
 
 
@@ -101,7 +105,59 @@ def start(events: DataFrame, config: EngineConfig, deltas: str, checkpoint: str)
     return pair_stream(events, config).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def closed_batches(spark: SparkSession, deltas: str) -> list[int]:
+    """Numbers of the batches that can't be run again: all but the newest."""
+    return sorted(int(n.removeprefix("batch=")) for n in scratch.folders(spark, deltas) if n.startswith("batch="))[:-1]
+
+
+def generation(spark: SparkSession, deltas: str) -> tuple[int, int, int, int] | None:
+    """(number, last batch in it, time of its last decay, decays so far) of the folded graph."""
+    names = [n for n in scratch.folders(spark, f"{deltas}/graph") if n.startswith("sealed=")]
+    if not names:
+        return None
+    number, batches, faded, cycles = map(int, names[-1].removeprefix("sealed=").split("-"))
+    return number, batches - 1, faded, cycles
+
+
+def seal(deltas: str, number: int, last: int, faded: int, cycles: int) -> str:
+    return f"{deltas}/graph/sealed={number:08d}-{last + 1}-{faded}-{cycles}"
+
+
+def fold(spark: SparkSession, deltas: str, config: EngineConfig, now: int) -> DataFrame:
+    """Fold closed batches into the stored graph, fade it by the decay intervals
+    that have passed, and hold its limits. To be run on a timer.
+
+    A generation counts once its seal, which names what it holds, is there; only
+    then are the batches in it and the generation before it deleted, so a run that
+    breaks off is simply run again.
+    """
+    before = generation(spark, deltas)
+    number, last, faded, cycles = before or (0, -1, now, 0)
+    graph = spark.read.schema(EDGES).parquet(f"{deltas}/graph/edges={number:08d}") if before else spark.createDataFrame([], EDGES)
+    batches = [b for b in closed_batches(spark, deltas) if b > last]
+    if batches:
+        parts = spark.read.schema(EDGES).parquet(*(f"{deltas}/batch={b}" for b in batches))
+        graph = cooccurrence.limited(cooccurrence.merge_edges(graph, parts), config)
+    due = max(0, now - faded) // config.decay_interval_sec
+    graph = cooccurrence.maintain(graph, config, due, cycles)
+    scratch.remove(spark, f"{deltas}/graph/edges={number + 1:08d}")  # of a run that broke off
+    held = scratch.written(graph, f"{deltas}/graph/edges={number + 1:08d}", "item1")
+    target, files = scratch.place(spark, seal(deltas, number + 1, max(batches, default=last), faded + due * config.decay_interval_sec, cycles + due))
+    files.mkdirs(target)
+    for b in batches:
+        scratch.remove(spark, f"{deltas}/batch={b}")
+    if before:
+        scratch.remove(spark, f"{deltas}/graph/edges={number:08d}")
+        scratch.remove(spark, seal(deltas, *before))
+    return held
+
+
 def edges(spark: SparkSession, deltas: str) -> DataFrame:
-    """The graph so far: all batches' parts summed."""
-    parts = spark.read.schema("item1 string, item2 string, score double").parquet(f"{deltas}/batch=*")
+    """The graph so far: what is folded, and the batches since summed."""
+    before = generation(spark, deltas)
+    last = before[1] if before else -1
+    paths = [f"{deltas}/{n}" for n in scratch.folders(spark, deltas) if n.startswith("batch=") and int(n.removeprefix("batch=")) > last]
+    parts = spark.read.schema(EDGES).parquet(*paths) if paths else spark.createDataFrame([], EDGES)
+    if before:
+        parts = parts.unionByName(spark.read.schema(EDGES).parquet(f"{deltas}/graph/edges={before[0]:08d}"))
     return parts.groupBy("item1", "item2").agg(F.sum("score").alias("score"))

@@ -5,6 +5,7 @@ import pytest
 
 from nearkin.config import EngineConfig
 from nearkin.operators import cooccurrence, events
+from nearkin.streaming import ingest
 from nearkin.streaming.ingest import ContextState
 
 EVENTS = "ctx string, item_id string, score int, ts long, type string, seq long"
@@ -220,3 +221,25 @@ def test_repeats_are_found_over_batch_ends():
     for size in (1, 3, 50, 200):
         parts = [whole.slice(i, size) for i in range(0, 200, size)]
         assert [d for b in events.scan_adds(30)(iter(parts)) for d in b.column("dup").to_pylist()] == want
+
+
+def test_batches_are_folded_into_a_fading_graph(spark, tmp_path):
+    folder = f"file://{tmp_path}/deltas"
+    config = EngineConfig(decay_interval_sec=10, decay_alpha=0.5)
+
+    def batch(n, rows):
+        spark.createDataFrame([r for a, b, s in rows for r in ((a, b, s), (b, a, s))], "item1 string, item2 string, score double").write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    graph = lambda: {(r.item1, r.item2): r.score for r in ingest.edges(spark, folder).collect() if r.item1 < r.item2}
+    batch(0, [("a", "b", 8.0)])
+    batch(1, [("a", "b", 4.0), ("a", "c", 2.0)])
+    assert graph() == {("a", "b"): 12.0, ("a", "c"): 2.0}
+    ingest.fold(spark, folder, config, 100)
+    assert graph() == {("a", "b"): 12.0, ("a", "c"): 2.0} and ingest.generation(spark, folder) == (1, 0, 100, 0)
+    batch(1, [("a", "b", 4.0), ("a", "c", 2.0)])  # the newest batch may be run again
+    batch(2, [("b", "c", 1.0)])
+    ingest.fold(spark, folder, config, 125)
+    assert graph() == {("a", "b"): 3.0, ("a", "c"): 0.5, ("b", "c"): 1.0} and ingest.generation(spark, folder) == (2, 1, 120, 2)
+    ingest.fold(spark, folder, config, 131)
+    assert graph() == {("a", "b"): 1.5, ("a", "c"): 0.25, ("b", "c"): 1.0}
+    assert sorted(p.name for p in (tmp_path / "deltas").iterdir()) == ["batch=2", "graph"]
