@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from nearkin.functions.vector import TINY_NORM
 
 BLOCK = 2048
+#: Queries that are scored at once, and of a block of queries that meets all rows.
+STRIP = 256
 #: Decimals that scores are rounded to before they are ranked, so that ties
 #: don't depend on the order of a sum.
 DECIMALS = 9
@@ -25,33 +27,48 @@ BLOCK_TYPE = "key int, ids array<string>, width int, data binary"
 PACKERS = 8
 
 
-def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packing(most: int):
     """(key, id, width, vector) rows, sorted by key and width, to blocks of one of each."""
 
     def block(key: int, ids: list[str], width: int, rows: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([ids], pa.list_(pa.string())), pa.array([width], pa.int32()), pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["key", "ids", "width", "data"])
 
-    ids: list[str] = []
-    rows: list[np.ndarray] = []
-    last = (-1, -1)
-    for b in batches:
-        for key, item, width, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            if ids and ((key, width) != last or len(ids) == BLOCK):
-                yield block(last[0], ids, last[1], rows)
-                ids, rows = [], []
-            last = (key, width)
-            ids.append(item)
-            rows.append(vec.values.to_numpy(zero_copy_only=False).astype("<f8"))
-    if ids:
-        yield block(last[0], ids, last[1], rows)
-
-
-def pack(vectors: DataFrame, key: str | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[str] = []
+        rows: list[np.ndarray] = []
+        last = (-1, -1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.column(1).to_pylist()
+            keys, widths = b.column(0).to_numpy(), b.column(2).to_numpy()
+            flat, ends = b.column(3).flatten().to_numpy(zero_copy_only=False).astype("<f8"), np.concatenate([[0], np.cumsum(np.maximum(widths, 0))])
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (widths[1:] != widths[:-1]), True])
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if ids and (keys[low], widths[low]) != last:
+                    yield block(last[0], ids, last[1], rows)
+                    ids, rows = [], []
+                last = (int(keys[low]), int(widths[low]))
+                while low < high:
+                    to = min(high, low + most - len(ids))
+                    ids += names[low:to]
+                    rows.append(flat[ends[low] : ends[to]])
+                    low = to
+                    if len(ids) == most:
+                        yield block(last[0], ids, last[1], rows)
+                        ids, rows = [], []
+        if ids:
+            yield block(last[0], ids, last[1], rows)
+
+    return run
+
+
+def pack(vectors: DataFrame, key: str | None = None, rows: int | None = None) -> DataFrame:
     """Blocks (key, ids, width, data); with a ``key`` column, blocks of one key each."""
-    rows = vectors.select((F.col(key) if key else F.lit(0)).cast("int").alias("key"), "id", F.size("vec").alias("width"), F.col("vec").cast("array<double>").alias("vec"))
+    held = vectors.where("vec is not null").select((F.col(key) if key else F.lit(0)).cast("int").alias("key"), "id", F.size("vec").alias("width"), F.col("vec").cast("array<double>").alias("vec"))
     if key:
-        rows = rows.repartition("key", F.pmod(F.xxhash64("id"), F.lit(PACKERS)))
-    return rows.sortWithinPartitions("key", "width").mapInArrow(packing, BLOCK_TYPE)
+        held = held.repartition("key", F.pmod(F.xxhash64("id"), F.lit(PACKERS)))
+    return held.sortWithinPartitions("key", "width").mapInArrow(packing(rows or BLOCK), BLOCK_TYPE)
 
 
 def similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -71,31 +88,31 @@ def similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 / (1.0 + np.sqrt(square))
 
 
+def largest(scores: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's k largest; of equal ones at the edge the first."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
+    above, level = scores > edge, scores == edge
+    return above | level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))
+
+
 def searching(k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                width = row["q_width"]
-                q, x = (np.frombuffer(row[c], "<f8").reshape(-1, width) for c in ("q_data", "data"))
-                order = np.argsort(np.array(row["ids"], object), kind="stable")
-                ids, x = np.array(row["ids"], object)[order], x[order]
-                place = {v: i for i, v in enumerate(ids)}
-                scores = np.round(similarities(q, x, metric), DECIMALS)
-                out: list[list] = [[], [], []]
-                for i, query in enumerate(row["q_ids"]):
-                    s = scores[i]
-                    if query in place:
-                        s[place[query]] = -np.inf
-                    best = np.arange(len(s))
-                    if len(s) > k:  # ids ascend, so of equal scores the first ones stay
-                        edge = np.partition(s, len(s) - k)[len(s) - k]
-                        above = np.flatnonzero(s > edge)
-                        best = np.concatenate([above, np.flatnonzero(s == edge)[: k - len(above)]])
-                    best = best[s[best] > -np.inf]
-                    out[0] += [query] * len(best)
-                    out[1] += ids[best].tolist()
-                    out[2] += s[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["query_id", "item_id", "score"])
+                q, x = (np.frombuffer(row[c], "<f8").reshape(-1, row["q_width"]) for c in ("q_data", "data"))
+                order = np.argsort(np.array(row["ids"], object), kind="stable")  # ids ascend, for ties
+                ids, x = pa.array(row["ids"]).take(pa.array(order)), x[order]
+                place = {v: i for i, v in enumerate(ids.to_pylist())}
+                for at in range(0, len(q), STRIP):
+                    asked = row["q_ids"][at : at + STRIP]
+                    scores = np.round(similarities(q[at : at + STRIP], x, metric), DECIMALS)
+                    own = [(i, place[v]) for i, v in enumerate(asked) if v in place]
+                    if own:
+                        scores[tuple(np.array(own).T)] = -np.inf
+                    who, best = np.nonzero(largest(scores, k) & (scores > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked).take(pa.array(who)), ids.take(pa.array(best)), pa.array(scores[who, best])], names=["query_id", "item_id", "score"])
 
     return run
 
@@ -106,7 +123,10 @@ def block_search(q: DataFrame, x: DataFrame, k: int, metric: str, on_key: bool =
     from nearkin.operators.search import top_per_query
 
     q = q.select("key", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    met = q.join(x, "key") if on_key else q.crossJoin(x.drop("key"))
+    if on_key:
+        met = q.join(x, "key")
+    else:  # dealt anew, as few blocks may lie in few tasks
+        met = q.repartition(max(1, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")))).crossJoin(x.drop("key"))
     met = met.where("q_width = width").select("q_ids", "q_width", "q_data", "ids", "data")
     return top_per_query(met.mapInArrow(searching(k, metric), "query_id string, item_id string, score double"), k)
 
@@ -118,4 +138,4 @@ def batch_vectors(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     queries only where it finds them small. Narrow to cells first (see ``ann``)
     where all pairs are too many.
     """
-    return block_search(pack(queries), pack(vectors), k, metric)
+    return block_search(pack(queries, rows=STRIP), pack(vectors), k, metric)

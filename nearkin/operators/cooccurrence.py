@@ -70,9 +70,16 @@ def both_ways(parts: DataFrame, *keys: str) -> DataFrame:
     return one.select(*keys, ends, "score").select(*keys, "e.item1", "e.item2", "score")
 
 
-def build_edges(accepted: DataFrame, config: EngineConfig) -> DataFrame:
-    """The graph that the accepted events give, one by one as they came."""
-    return both_ways(contributions(pairs(accepted, config.ctx_buffer_size), config))
+def build_edges(accepted: DataFrame, config: EngineConfig, item: str | None = None) -> DataFrame:
+    """The graph that the accepted events give, one by one as they came.
+
+    With an ``item`` only its edges: the others' pairs go before they are summed,
+    which no rule of the planner could do behind the sum.
+    """
+    met = pairs(accepted, config.ctx_buffer_size)
+    if item is not None:
+        met = met.where((F.col("item_a") == item) | (F.col("item_b") == item))
+    return both_ways(contributions(met, config))
 
 
 def added_edges(stored: DataFrame, more: DataFrame, after: int, config: EngineConfig) -> DataFrame:

@@ -34,8 +34,8 @@ def accepted(spark, sf, config=CONFIG):
     return events.accept(raw_events(spark, sf), config)
 
 
-def edges(spark, sf, config=CONFIG):
-    return cooccurrence.build_edges(accepted(spark, sf, config), config)
+def edges(spark, sf, config=CONFIG, item=None):
+    return cooccurrence.build_edges(accepted(spark, sf, config), config, item)
 
 
 def vecs(spark, sf):
@@ -211,7 +211,7 @@ def by_vectors(metric):
 
 
 def q1_filtered(spark, sf):
-    return search.rounded(search.by_events(edges(spark, sf), ITEM, K, CONFIG, meta(spark, sf), FILTER))
+    return search.rounded(search.by_events(edges(spark, sf, item=ITEM), ITEM, K, CONFIG, meta(spark, sf), FILTER))
 
 
 def q2_filtered(spark, sf):
@@ -224,7 +224,7 @@ def q3_simv(spark, sf):
 
 
 def q4_fusion(config):
-    return lambda spark, sf: search.rounded(search.by_fusion(edges(spark, sf, config), vecs(spark, sf), ITEM, K, config))
+    return lambda spark, sf: search.rounded(search.by_fusion(edges(spark, sf, config, ITEM), vecs(spark, sf), ITEM, K, config))
 
 
 def q5_sampled(spark, sf):
@@ -241,7 +241,8 @@ def q9_batch_events(spark, sf):
 
 
 def q9_batch_fusion(spark, sf):
-    return search.batch_fusion(edges(spark, sf), vecs(spark, sf), K, ADAPTIVE).select("query_id", "item_id", F.round("score", 4).alias("score"))
+    graph = scratch.written(edges(spark, sf), scratch.shared(spark, "edges"))  # used for scores and for counts
+    return search.batch_fusion(graph, vecs(spark, sf), K, ADAPTIVE).select("query_id", "item_id", F.round("score", 4).alias("score"))
 
 
 # -- vector functions and cells ----------------------------------------------
@@ -424,12 +425,12 @@ QUERIES = {
     "c6_decay": lambda s, d: shown(cooccurrence.decay(edges(s, d), 0.5, 2000.0)),
     "c7_prune": c7_prune,
     "c9_maintain": c9_maintain,
-    "c10_pair_score": lambda s, d: cooccurrence.pair_score(edges(s, d), ITEM, OTHER),
+    "c10_pair_score": lambda s, d: cooccurrence.pair_score(edges(s, d, item=ITEM), ITEM, OTHER),
     "c11_neighbor_counts": lambda s, d: cooccurrence.neighbor_counts(edges(s, d, NEGATIVE)),
-    "c12_neighbors": lambda s, d: cooccurrence.neighbors(edges(s, d, NEGATIVE), ITEM),
+    "c12_neighbors": lambda s, d: cooccurrence.neighbors(edges(s, d, NEGATIVE, ITEM), ITEM),
     "c13_set_score": c13_set_score,
     "c14_graph_stats": lambda s, d: cooccurrence.graph_stats(edges(s, d)),
-    "q1_sim_events": lambda s, d: search.rounded(search.by_events(edges(s, d), ITEM, K, CONFIG)),
+    "q1_sim_events": lambda s, d: search.rounded(search.by_events(edges(s, d, item=ITEM), ITEM, K, CONFIG)),
     "q1_sim_events_filtered": q1_filtered,
     "q2_sim_vectors_cosine": by_vectors("cosine"),
     "q2_sim_vectors_dot": by_vectors("dot"),
