@@ -60,6 +60,36 @@ def test_run_gives_the_last_stage(spark, documents):
         ends[r.sequence_id] = r.offset + r.length
 
 
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    names = ["text_key", "kept", "key", "record", "id", "__named_id", "component_id", "bucket", "node", "language"]
+    long = " ".join(f"word{i % 997} und{i % 89}" for i in range(30000))
+    texts = [long, long, long + " more", "a short text of its own", None, "a short text of its own"]
+    rows = [(i, t, "en", "s", 1, *[i] * len(names)) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1, *[3] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    stage = dict(corpus_pipeline.STAGES)
+    columns = docs.columns
+    for name, want in (("language_id", [0, 1, 2, 3, 3, 5]), ("exact_dedup", [1, 2, 5]), ("simhash_near_dedup", [1, 5])):
+        docs = stage[name](spark, docs, "")
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert sorted(r.doc_id for r in docs.collect()) == want
+        assert all(set(r[5:]) == {r.doc_id} for r in docs.collect())
+    places = stage["best_fit_packing"](spark, docs, "").collect()
+    assert {r.doc_id for r in places} == {1, 5} and sum(r.doc_id == 1 for r in places) > 20
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    other = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(words))
+    rows = [(1, other()), (2, other(50)), (3, other(10, 60)), (4, other(10, 30, 50, 70, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert alike(1, 2) and alike(1, 3) and not any(alike(4, i) for i in (1, 2, 3))
+    assert left == {1, 4}
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

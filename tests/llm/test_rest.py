@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearkin.llm import language_id, license_scan, sharding, topk_search
+from nearkin.llm import language_id, license_scan, sharding, simhash, topk_search
 
 from .conftest import ODD
 
@@ -257,6 +257,43 @@ def test_pages(spark):
     assert all(found[i].language == url.split(".")[1] for i, url, _ in rows[:80]) and found[99].language == "fr" and found[99].declared is None
 
 
+def test_pages_of_nothing_and_odd_pages(spark):
+    kinds = "page_id long, url string, html string, lang string, text_key int, host string"
+    rows = [(1, None, None, "x", 1, "y"), (2, "https://a.example/", None, "x", 1, "y"), (3, None, f'<html lang="en"><p>{WORDS["en"]}</p>', "x", 1, "y"), (4, "ftp://b", "<p>&#233;&amp;</p>", "x", 1, "y"), (5, None, f'<html lang="de"><p>{WORDS["de"]}</p>', "x", 1, "y")]
+    found = {r.doc_id: r for r in language_id.identify_pages(spark.createDataFrame(rows, kinds)).collect()}
+    assert {i: found[i].language for i in (1, 2, 3, 5)} == {1: "und", 2: "und", 3: "en", 5: "de"} and found[1].rejected and found[4].declared is None
+    assert language_id.identify_pages(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_suffixes_and_hosts_smooth_the_prior(spark):
+    docs = [(i, WORDS[x], x, f"h{i % 4}.site.{x}", 1) for i, x in enumerate(["de", "fr"] * 60)] + [(900, "x", None, "new.site.de", 1), (901, "x", None, "new.site.fr", 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in language_id.identify_documents(docs).collect()}
+    assert found[900].language == "de" and found[901].language == "fr"
+
+
+def test_buckets_are_nested_where_there_are_too_many(spark, frame, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_BUCKETS", 3)
+    rows = [(i, f"text {i} " * 20) for i in range(300)]
+    got = shards_of(sharding.shard_records(frame(rows), 7, bucket_bytes=2000))
+    assert sorted((i, t) for i, t, _, _ in got) == sorted(rows)
+    slots = {}
+    for _, _, shard, slot in got:
+        slots.setdefault(shard, []).append(slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and {len(v) for v in slots.values()} == {42, 43}
+
+
+def test_wrappers_give_what_their_contracts_ask(spark, frame, tmp_path):
+    rows = [r for r in [*ODD, (30, "d" * 10)] if r[0] is not None]
+    frame(rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    found = language_id.op3_language_id(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(i for i, _ in rows) and {r.kept for r in found} <= {True, False}
+    found = simhash.op5_simhash(spark, str(tmp_path)).collect()
+    want = {i: f"{simhash.fingerprint(t or ''):016x}" for i, t in rows if i != 4}
+    assert {r.doc_id: r.fingerprint for r in found if r.doc_id != 4} == want and len(found) == len(rows)
+    assert {r.component_id for r in found if r.doc_id in (1, 2, 8)} == {1}
+
+
 def test_more_languages_than_64(spark):
     rnd = random.Random(8)
     labels = [a + b for a in "bcdfghjk" for b in "aeiouvwxyz"]
