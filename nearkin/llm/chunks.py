@@ -14,7 +14,6 @@ any text.
 
 from __future__ import annotations
 
-import copy
 import ctypes
 import functools
 import os
@@ -27,11 +26,11 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text handled at once in a task (one longer text is a slice alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Entries of each of the cache's two generations.
 CACHE_ROOM = 120_000
 #: The same for the library's ids, which have no second cache of pieces.
-IDS_ROOM = 200_000
+IDS_ROOM = 150_000
 #: Chunks that the library encodes as one text.
 JOINED = 200
 #: Longer keys are worked out each time and not kept.
@@ -216,17 +215,13 @@ class Library:
         self.special = list(added_tokens(path))
         alone = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
         self.stop_id, self.stop = alone[-1] if alone else (-1, "")
-        self.bare = self.tokenizer
-        if self.tokenizer.normalizer is not None:  # what it leaves as it is can do without
-            self.bare = copy.deepcopy(self.tokenizer)
-            self.bare.normalizer = None
 
-    def joined(self, tokenizer, chunks: list[str]) -> list[bytes]:
+    def joined(self, chunks: list[str]) -> list[bytes]:
         if not self.stop:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         out: list[bytes] = []
         texts = [self.stop.join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
-        for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(found.ids, "<u4")
             stops = np.flatnonzero(ids == self.stop_id)
             held, ends = ids.tobytes(), (4 * stops).tolist()
@@ -234,15 +229,11 @@ class Library:
         return out
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for i, c in enumerate(chunks):
-            kinds[2 if "<" in c and any(s in c for s in self.special) else 0 if c.isascii() and c == c.lower() else 1].append(i)
-        out: list[bytes] = [b""] * len(chunks)
-        for tokenizer, places in zip((self.bare, self.tokenizer), kinds, strict=False):
-            for i, ids in zip(places, self.joined(tokenizer, [chunks[i] for i in places]), strict=True):
-                out[i] = ids
-        for i in kinds[2]:
-            out[i] = np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, "<u4").tobytes()
+        odd = {i for i, c in enumerate(chunks) if any(s in c for s in self.special)}
+        plain = [c for i, c in enumerate(chunks) if i not in odd]
+        out = self.joined(plain) if plain else []
+        for i in sorted(odd):  # these hold an added token's string themselves
+            out.insert(i, np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 
