@@ -48,7 +48,7 @@ class Workspace:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return it reread: a restart point that outlives executors."""
         writer = df.write.option("compression", codec)
         if partition_by:
