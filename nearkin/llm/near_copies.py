@@ -28,17 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.llm import simhash
-from nearkin.llm.chunks import release, slices
+from nearkin.llm.chunks import slices
 from nearkin.llm.shared import BROADCAST_ROWS, Workspace, text_key, text_of
 
 SHINGLE = 5
 ALIKE = 0.8
 #: Texts that common shingles are looked for in, about, and in how many they stand.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 1 << 14
 COMMON = 8
 #: Rounds of comparing with one row of each shared shingle.
 ROUNDS = 1
@@ -52,18 +52,16 @@ def shingle_set(text: str, shingle: int = SHINGLE, seed: int = simhash.SEED) ->
     return np.unique(simhash.shingle_hashes(text, shingle, seed))
 
 
-def least_overlap(a, b, alike: float):
-    """Shared members that sets of these sizes need."""
-    return np.ceil(alike / (1 + alike) * (a + b) - 1e-9)
-
-
 def sets(shingle: int, seed: int):
     """(node, text) to (node, whole set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle, seed).tobytes() for t in texts], pa.binary())], names=["node", "held"])
+                held = [shingle_set(t.as_py(), shingle, seed).view(np.int64) for t in texts]
+                edges = np.cumsum([0, *map(len, held)])
+                flat = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(held)))
+                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["node", "held"])
 
     return run
 
@@ -102,22 +100,10 @@ def counting(shingle: int, seed: int):
     return run
 
 
-def verifying(alike: float):
-    """(a, b, both sets) to the pairs that are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(len(x) == len(y) == 0 or both >= least_overlap(len(x), len(y), alike) and both > 0)
-            kept = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
-            del batch
-            release()
-
-    return run
+def are_alike(x: Column, y: Column, alike: float) -> Column:
+    """Whether two whole sets are; without members only like each other."""
+    both, total = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
+    return (total == 0) | (both > 0) & (both >= F.ceil(F.lit(alike / (1 + alike)) * total - F.lit(1e-9)))
 
 
 def verified(pairs: DataFrame, held: DataFrame, alike: float) -> DataFrame:
@@ -127,7 +113,8 @@ def verified(pairs: DataFrame, held: DataFrame, alike: float) -> DataFrame:
     left = needed(held, pairs, "a", "x").join(F.broadcast(many), "a", "left")
     left = left.select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
     dealt = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
-    return dealt.join(needed(held, pairs, "b", "y"), "b").join(left, ["a", "chunk"]).select("a", "b", "x", "y").mapInArrow(verifying(alike), "a long, b long")
+    met = dealt.join(needed(held, pairs, "b", "y"), "b").join(left, ["a", "chunk"])
+    return met.where(are_alike(F.col("x"), F.col("y"), alike)).select("a", "b")
 
 
 def needed(held: DataFrame, pairs: DataFrame, side: str, name: str) -> DataFrame:
@@ -151,10 +138,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = spark.sparkContext.broadcast((known[order], common["count"].to_numpy(np.int64)[order]))
 
     first = work.table(texts.mapInArrow(prefixes(common, shingle, seed, alike), "node long, fp long, n int, keys array<long>"), "prefixes")
-    entries = first.select("node", "n", F.explode("keys").alias("key"))
-    beside = Window.partitionBy("key").orderBy("node")
-    entries = entries.withColumns({"before": F.lag("node").over(beside), "after": F.lead("node").over(beside)})
-    shared = work.table(entries.where("before <> node or after <> node").select("key", "node", "n").distinct(), "sharing")
+    whole = Window.partitionBy("key")
+    entries = first.select("node", "n", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)})
+    shared = work.table(entries.where("low <> high").select("key", "node", "n").distinct(), "sharing")
     # as the sizes of a pair are alike, the smaller set's m is at least this
     fewest = 1 + F.floor(F.ceil(F.col("n") * F.lit(alike) - F.lit(1e-9)) / PER_SHARED)
     enough = shared.groupBy("node", "n").count().where(F.col("count") >= fewest).select("node")
@@ -173,18 +159,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = shared.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = work.table(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    held = texts.join(wanted, "node", "left_semi").mapInArrow(sets(shingle, seed), "node long, held binary")
+    held = texts.join(wanted, "node", "left_semi").mapInArrow(sets(shingle, seed), "node long, held array<long>")
     if first.select("node").distinct().count() < first.count():
         held = held.dropDuplicates(["node"])
     held = work.table(held, "sets")
 
     edges = work.table(verified(pairs, held, alike), "edges-prints")
     for turn in range(ROUNDS + 1):
-        found = simhash.components(edges, Workspace(spark, f"near-copies-{turn}"))
-        placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        whole = Window.partitionBy("key")
-        placed = placed.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole)}).where("low <> high").drop("low", "high")
-        placed = work.table(placed, f"placed-{turn}")
+        placed = shared.withColumn("root", F.col("node"))
+        if turn:
+            found = simhash.components(edges, Workspace(spark, f"near-copies-{turn}"))
+            placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            placed = placed.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole)}).where("low <> high").drop("low", "high")
+            placed = work.table(placed, f"placed-{turn}")
         if turn < ROUNDS:
             one = whole.orderBy(F.xxhash64("node", F.lit(turn)))
             pairs = placed.withColumns({f"{c}_1": F.first(c).over(one) for c in ("node", "n", "root")})
