@@ -108,10 +108,10 @@ class Block:
         some = np.flatnonzero(held)
         return held[: some[-1] + 1] if len(some) else held[:0]
 
-    def twins(self, item: int, vector: np.ndarray) -> list[int]:
-        """Rows with that id and those weights."""
-        low, high = np.searchsorted(self.ids, [item, item + 1]) if item < np.iinfo(np.int64).max else (np.searchsorted(self.ids, item), len(self.ids))
-        return [r for r in range(low, high) if np.array_equal(self.vector(r), vector)]
+    def twins(self, queries: Block) -> dict[int, list[int]]:
+        """Query rows to the rows here with the same id and weights."""
+        low, high = (np.searchsorted(self.ids, queries.ids, side) for side in ("left", "right"))
+        return {j: [r for r in range(low[j], high[j]) if np.array_equal(self.vector(r), queries.vector(j))] for j in np.flatnonzero(low < high).tolist()}
 
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.edge[term], self.edge[term + 1]
@@ -155,16 +155,17 @@ def search_blocks(k: int):
                 if kept is None or kept[0] != number:
                     kept = (number, Block(*q))
                 queries, rows = kept[1], Block(*(b.column(c)[i].as_py() for c in range(4, 7)))
-                scores = accumulate(queries, rows)
+                scores, twins = accumulate(queries, rows), rows.twins(queries)
                 out: list[list] = [[], [], [], [], []]
                 for j, query in enumerate(queries.ids.tolist()):
                     best = select(scores[:, j], k + 1)
                     out[0].append(np.full(len(best), number * BLOCK + j))
                     out[1].append(np.full(len(best), query))
                     out[2].append(rows.ids[best])
-                    twin = np.isin(best, rows.twins(query, queries.vector(j)))
-                    found = scores[best, j]
-                    found[twin] = np.minimum(found[twin], np.iinfo(np.int64).max)
+                    found, twin = scores[best, j], np.zeros(len(best), bool)
+                    if j in twins:
+                        twin = np.isin(best, twins[j])
+                        found[twin] = np.minimum(found[twin], np.iinfo(np.int64).max)
                     out[3].append(found.astype(np.int64))
                     out[4].append(twin)
                 kinds = (*[pa.int64()] * 4, pa.bool_())
