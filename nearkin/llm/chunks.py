@@ -30,7 +30,7 @@ SLICE_BYTES = 2 << 20
 #: Entries of each of the cache's two generations.
 CACHE_ROOM = 120_000
 #: The same for the library's ids, which have no second cache of pieces.
-IDS_ROOM = 150_000
+IDS_ROOM = {"byte": 350_000, "word": 150_000}
 #: Chunks that the library encodes as one text.
 JOINED = 200
 #: Longer keys are worked out each time and not kept.
@@ -241,4 +241,4 @@ class Library:
 def encoder(path: str, kind: str) -> Gatherer:
     """The task's encoder, kept while its Python worker lives."""
     make = Library(path)
-    return Gatherer(make, "<u4", kind, make.special, IDS_ROOM)
+    return Gatherer(make, "<u4", kind, make.special, IDS_ROOM[kind])

@@ -37,6 +37,8 @@ from nearkin.llm.chunks import encoder, ended, slices, vocabulary_size
 from nearkin.llm.shared import Workspace, id_and_text
 
 BLOCK_IDS = 1 << 19
+#: Bytes of text encoded at once.
+SLICE_BYTES = 4 << 20
 #: Ids of a range of documents at most, roughly: what one task sorts and writes.
 RANGE_DOCS = 1 << 15
 
@@ -80,7 +82,7 @@ def encoding(path: str, kind: str, end: int, bounds: list[tuple[int, int]]):
         gather = encoder(path, kind)
         kept = id_type(path, end)
         for batch in batches:
-            for part, texts in slices(batch, 2):
+            for part, texts in slices(batch, 2, SLICE_BYTES):
                 edges, held = ended(*gather(texts), end)
                 held = held.astype(kept)
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((edges * kept.itemsize).astype(np.int32)), pa.py_buffer(held)])
