@@ -140,11 +140,11 @@ def probing(centroids: np.ndarray, metric: str, nprobe: int):
 def batch_cell_search(celled: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, config: EngineConfig) -> DataFrame:
     """``cell_search`` of many queries: each meets the rows of its cells only.
 
-    Queries and rows are packed into blocks of one cell; the join is on the cell,
-    a row being a block, and each pair of blocks is one product of matrices.
+    A cell's queries are dealt into groups of bounded size, and each group reads
+    the cell's rows once, as a stream of matrices.
     """
     asked = queries.select("id", "vec").mapInArrow(probing(np.array(centroids, float), config.distance_metric, config.ivf_nprobe), "id string, vec array<float>, cell int")
-    return blocks.block_search(blocks.pack(asked, "cell"), blocks.pack(celled, "cell"), k, config.distance_metric, on_key=True)
+    return blocks.block_search(asked, celled, k, config.distance_metric, key="cell")
 
 
 def stored_cells(vectors: DataFrame, centroids: list[list[float]], metric: str, path: str) -> DataFrame:

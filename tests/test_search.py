@@ -123,6 +123,34 @@ def test_batch_search_equals_brute_force(spark, metric, monkeypatch):
     assert found == brute(held, metric, 4)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_batch_search_holds_one_group_and_one_batch(spark, metric, monkeypatch):
+    # rows reach a task as a stream and in many groups; all of one width, some of them copies, ids repeated
+    monkeypatch.setattr(blocks, "LEAST_GROUP", 7)
+    monkeypatch.setattr(blocks, "LEAST_PART", 11)
+    rng = np.random.default_rng(5)
+    held = {f"v{i}": np.float32(rng.normal(size=6) * (i % 5)).tolist() for i in range(90)}
+    held |= {f"copy{i}": held["v3"] for i in range(30)}
+    v = store(spark, held)
+    rows = blocks.batch_vectors(v, v, 4, metric)
+    found = {}
+    for r in rows.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.item_id)
+    assert found == brute(held, metric, 4)
+    for some in ({"v1", "copy7"}, set(held)):
+        asked = v.where(v.id.isin(*some))
+        got = blocks.batch_vectors(v, asked, 4, metric).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.item_id) for r in got] == [(q, i) for q in sorted(some) for i in brute(held, metric, 4)[q]]
+    best = blocks.Best(["q", "a"], np.array([[1.0, 0.0], [0.0, 1.0]]), 1, metric)
+    for ids, x in ((["a", "a", "b"], [[9.0, 0.0], [8.0, 0.0], [1.0, 0.5]]), (["q"], [[1.0, 0.0]])):
+        best.add(np.array(ids, object), np.array(x))
+    want = {"cosine": ["a", "b"], "dot": ["a", "b"], "l2": ["b", "b"]}[metric]
+    assert best.items.ravel().tolist() == want
+    for n in (10**5, 10**6):
+        ((_, _, groups, parts, _),) = blocks.dealing([(0, 64, n, n)])
+        assert n / groups <= blocks.MOST_GROUP and groups * parts >= 30
+
+
 def test_batch_search_of_other_widths(spark):
     v = store(spark, {"a": [1, 0], "b": [1, 1], "c": [1, 0, 0]})
     assert {(r.query_id, r.item_id) for r in blocks.batch_vectors(v, v, 5).collect()} == {("a", "b"), ("b", "a")}
