@@ -1,8 +1,8 @@
 """Events as a stream: the same acceptance and graph as in batch.
 
 State is kept per context: the last events, the times of accepted additions and
-the items' states. Each new event gives its parts of edges at once; a batch's
-parts are summed and written under its number, so a batch that is run again
+the items' states. A batch's accepted events leave it with what their contexts
+held before; their pairs' parts are summed and written under the batch's number, so a batch that is run again
 replaces itself. There is no watermark: late events count as they arrive. A timed
 job folds the parts into a stored graph and fades it, so a read never sums more
 than the batches since.
@@ -25,7 +25,9 @@ from nearkin.operators.events import EVENT_COLUMNS, validate
 from nearkin.sources import scratch
 
 EDGES = "item1 string, item2 string, score double"
-PAIRS = "ctx string, item_a string, score_a int, ts_a long, item_b string, score_b int, ts_b long, type_b string"
+#: Accepted events, numbered from 0 in their context's batch; those of the buffer
+#: before it are numbered below 0 and have no type.
+TAKEN = "ctx string, item_id string, score int, ts long, type string, seq long"
 
 
 class ContextState:
@@ -68,41 +70,55 @@ class ContextState:
         self.remember(self.added, key, ts)
         return False
 
+    def keep(self, events: list[list]) -> None:
+        """Put accepted events (item, score, time) into the buffer."""
+        self.buffer = [*self.buffer, *events][-self.config.ctx_buffer_size :]
+
     def take(self, item: str, score: int, ts: int, kind: str) -> list[tuple]:
         """The pairs that an event makes; none if it is a repeat."""
         if self.repeated(item, score, ts, kind):
             return []
         met = [(*old, item, score, ts, kind) for old in self.buffer if old[0] != item]
-        self.buffer = [*self.buffer, [item, score, ts]][-self.config.ctx_buffer_size :]
+        self.keep([[item, score, ts]])
         return met
 
 
 def folding(config: EngineConfig) -> Callable:
-    names = [p.split()[0] for p in PAIRS.split(", ")]
+    names = [p.split()[0] for p in TAKEN.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = ContextState(config, state.get[0] if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = [(key[0], *p) for item, score, ts, kind in zip(rows["item_id"], rows["score"].astype(int).tolist(), rows["ts"].astype(int).tolist(), rows["type"], strict=True) for p in kept.take(item, score, ts, kind)]
+        rows = [r for f in frames for r in zip(f["seq"].tolist(), f["item_id"].tolist(), f["score"].tolist(), f["ts"].tolist(), f["type"].tolist(), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        new = [(item, int(score), int(ts), kind) for _, item, score, ts, kind in rows if not kept.repeated(item, int(score), int(ts), kind)]
+        old = kept.buffer if new else []
+        out = [(key[0], *r, None, i - len(old)) for i, r in enumerate(old)] + [(key[0], *r, i) for i, r in enumerate(new)]
+        kept.keep([list(r[:3]) for r in new])
         state.update((kept.text(),))
         yield pd.DataFrame(out, columns=names)
 
     return run
 
 
-def pair_stream(events: DataFrame, config: EngineConfig) -> DataFrame:
-    """Streaming pairs of accepted events, in order of arrival in each context."""
+def taken_stream(events: DataFrame, config: EngineConfig) -> DataFrame:
+    """Streaming accepted events, numbered in each context, after what it held before."""
     valid, _ = validate(events.select(*EVENT_COLUMNS))
-    return valid.groupBy("ctx").applyInPandasWithState(folding(config), PAIRS, "kept string", "append", GroupStateTimeout.NoTimeout)
+    return valid.groupBy("ctx").applyInPandasWithState(folding(config), TAKEN, "kept string", "append", GroupStateTimeout.NoTimeout)
 
 
 def start(events: DataFrame, config: EngineConfig, deltas: str, checkpoint: str) -> StreamingQuery:
-    """Follow a stream of events, adding edge parts below ``deltas``."""
+    """Follow a stream of events, adding edge parts below ``deltas``. Only events
+    leave the state, not their pairs; these are met in the planner's join."""
 
     def write(batch: DataFrame, number: int) -> None:
-        cooccurrence.both_ways(cooccurrence.contributions(batch, config)).write.mode("overwrite").parquet(f"{deltas}/batch={number}")
-
-    return pair_stream(events, config).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        place = f"{deltas}/taken={number}"
+        batch.write.mode("overwrite").parquet(place)  # it is read twice, and the state must move once
+        taken = batch.sparkSession.read.schema(TAKEN).parquet(place)
+        met = cooccurrence.pairs(taken, config.ctx_buffer_size, after=-1)
+        cooccurrence.both_ways(cooccurrence.contributions(met, config)).write.mode("overwrite").parquet(f"{deltas}/batch={number}")
+        scratch.remove(batch.sparkSession, place)
+
+    return taken_stream(events, config).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def closed_batches(spark: SparkSession, deltas: str) -> list[int]:

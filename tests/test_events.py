@@ -194,6 +194,27 @@ def test_stream_equals_batch_over_files(spark, tmp_path):
     assert graph(ingest.edges(spark, f"{tmp_path}/deltas")) == want
 
 
+def test_stream_state_gives_events_and_no_pairs():
+    import pandas as pd
+
+    from nearkin.streaming import ingest
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, run = State(), ingest.folding(replace(CONFIG, ctx_buffer_size=20))
+    for n in range(3):
+        rows = pd.DataFrame({"item_id": [f"i{i}" for i in range(100)], "score": 5, "ts": range(1000 * n, 1000 * n + 100), "type": "ADD", "seq": range(100 * n, 100 * n + 100)})
+        (out,) = run(("c",), iter([rows.iloc[50:], rows.iloc[:50]]), state)
+        assert out["seq"].tolist() == list(range(-20 if n else 0, 100)) and out["type"].isna().sum() == (20 if n else 0)
+        assert out["item_id"].tolist() == [f"i{i}" for i in [*(range(80, 100) if n else ()), *range(100)]]
+    (out,) = run(("c",), iter([rows]), state)  # repeats only
+    assert not len(out)
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], EVENTS)
     assert events.accept(e, CONFIG).count() == 0
