@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.llm.chunks import encoder, ended, slices
-from nearkin.llm.shared import Workspace, id_and_text
+from nearkin.llm.shared import BROADCAST_ROWS, Workspace, id_and_text
 
 #: Share of the capacity above which a piece is large.
 LARGE = 1 / 8
@@ -239,7 +239,10 @@ def pack(docs: DataFrame, path: str, kind: str, end: int, capacity: int, id_col:
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     counts = work.table(counts.withColumn("before", F.coalesce(before, F.lit(0))), "counts")
     plan = make_plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    ranked = pieces.drop("ids").join(counts.select("task", "length", "before"), ["task", "length"])
+    before = counts.select("task", "length", "before")
+    # told to broadcast, as a guess from its files' size deals and sorts all pieces, in large pages of memory
+    before = F.broadcast(before) if counts.count() <= BROADCAST_ROWS else before
+    ranked = pieces.drop("ids").join(before, ["task", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"), "row")
     return pieces, ranked.mapInArrow(placing(plan), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long, row long")
 

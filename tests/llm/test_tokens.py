@@ -310,3 +310,17 @@ def test_rows_of_one_id_go_to_many_ranges(spark, frame, monkeypatch, ranges):
     found = sorted(token_output.read_tokens(spark, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
     assert sorted((r.doc_id, bytes(r.ids)) for r in found) == sorted((i, np.array([*ids(BYTE, t), 0], "<u4").tobytes()) for i, t in rows)
+
+
+def test_packing_deals_no_pieces_for_the_counts(spark, frame):
+    from nearkin.llm import packing
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        places = packing.packed(frame([(i, "some words " * i) for i in range(30)]).repartition(7))
+        plan = places._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert places.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
