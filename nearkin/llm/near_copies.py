@@ -9,6 +9,8 @@ the rest:
   least m of their first shingles, all but ceil(threshold * size) - m of each,
   with m about a twentieth of the size, so chance phrases make no pairs;
 * size: a pair whose sizes can't give the overlap is left out;
+* place: the smaller set of a pair needs a shorter prefix, and a pair has to share
+  as many first shingles as the rests behind them can't make up for;
 
 and what is left is verified on whole sets. Components are all that is asked
 for, so every shared shingle's rows are first compared with one of them, in
@@ -106,6 +108,26 @@ def are_alike(x: Column, y: Column, alike: float) -> Column:
     return (total == 0) | (both > 0) & (both >= F.ceil(F.lit(alike / (1 + alike)) * total - F.lit(1e-9)))
 
 
+def candidates(placed: DataFrame, alike: float) -> DataFrame:
+    """(a, b) of different roots that share enough first shingles, a not the larger set.
+
+    As a's partners aren't smaller, their overlap is at least 2t / (1 + t) of a's size,
+    which leaves a shorter prefix of it to be looked at. In the global order all that
+    two sets share lies in both prefixes or behind the one that ends first, so what
+    is shared in them is at least the overlap asked for less the longer rest.
+    """
+    share = 2 * alike / (1 + alike)
+    least = lambda part, n: F.ceil(F.lit(part) * n - F.lit(1e-9))
+    more = lambda n: 1 + F.floor(F.col(n) / PER_SHARED)
+    few = placed.select("key", *(F.col(c).alias(f"{c}_1") for c in ("node", "n", "root")), "pos")
+    few = few.where(F.col("pos") < F.col("n_1") - least(share, F.col("n_1")) + more("n_1")).drop("pos")
+    smaller = (F.col("n_1") < F.col("n")) | (F.col("n_1") == F.col("n")) & (F.col("node_1") < F.col("node"))
+    met = placed.join(few, "key").where(smaller & (F.col("root") != F.col("root_1")) & (F.col("n_1") >= F.lit(alike) * F.col("n") - F.lit(1e-9)))
+    rest = F.greatest(least(share, F.col("n_1")) - more("n_1"), least(alike, F.col("n")) - more("n"))
+    met = met.groupBy(F.col("node_1").alias("a"), F.col("node").alias("b"), "n_1", "n").count()
+    return met.where(F.col("count") >= least(share / 2, F.col("n") + F.col("n_1")) - rest)
+
+
 def verified(pairs: DataFrame, held: DataFrame, alike: float) -> DataFrame:
     """The pairs (a, b), a written table, that are alike. A row with many pairs is dealt
     to many tasks: its set is repeated for them."""
@@ -139,8 +161,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = work.table(texts.mapInArrow(prefixes(common, shingle, seed, alike), "node long, fp long, n int, keys array<long>"), "prefixes")
     whole = Window.partitionBy("key")
-    entries = first.select("node", "n", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)})
-    shared = work.table(entries.where("low <> high").select("key", "node", "n").distinct(), "sharing")
+    entries = first.select("node", "n", F.posexplode("keys").alias("pos", "key")).withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)})
+    shared = work.table(entries.where("low <> high").select("key", "node", "n", "pos").distinct(), "sharing")
     # as the sizes of a pair are alike, the smaller set's m is at least this
     fewest = 1 + F.floor(F.ceil(F.col("n") * F.lit(alike) - F.lit(1e-9)) / PER_SHARED)
     enough = shared.groupBy("node", "n").count().where(F.col("count") >= fewest).select("node")
@@ -175,12 +197,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if turn < ROUNDS:
             one = whole.orderBy(F.xxhash64("node", F.lit(turn)))
             pairs = placed.withColumns({f"{c}_1": F.first(c).over(one) for c in ("node", "n", "root")})
+            sized = F.least("n", "n_1") >= F.lit(alike) * F.greatest("n", "n_1") - F.lit(1e-9)
+            pairs = pairs.where("root <> root_1").where(sized).groupBy(F.col("node_1").alias("a"), F.col("node").alias("b"), F.least("n", "n_1").alias("n")).count()
+            pairs = pairs.where(F.col("count") >= 1 + F.floor(F.col("n") / PER_SHARED))
         else:
-            other = placed.select("key", *(F.col(c).alias(f"{c}_1") for c in ("node", "n", "root")))
-            pairs = placed.join(other, "key").where("node_1 < node")
-        sized = F.least("n", "n_1") >= F.lit(alike) * F.greatest("n", "n_1") - F.lit(1e-9)
-        pairs = pairs.where("root <> root_1").where(sized).groupBy(F.col("node_1").alias("a"), F.col("node").alias("b"), F.least("n", "n_1").alias("n")).count()
-        pairs = work.table(pairs.where(F.col("count") >= 1 + F.floor(F.col("n") / PER_SHARED)).select("a", "b"), f"pairs-{turn}")
+            pairs = candidates(placed, alike)
+        pairs = work.table(pairs.select("a", "b"), f"pairs-{turn}")
         edges = work.table(edges.union(verified(pairs, held, alike)), f"edges-{turn}")
     found = work.table(simhash.components(edges, Workspace(spark, "near-copies-last")), "components")
 

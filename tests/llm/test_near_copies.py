@@ -79,3 +79,9 @@ def test_stage_drops_copies_beyond_four_bits(spark, frame):
 
 def test_near_copies_of_nothing(empty):
     assert near_copies.near_copies(empty).count() == 0
+
+
+def test_pairs_that_share_only_late_shingles_are_no_candidates(spark):
+    rows = [(100 * part + key, node, 100, key + first, node) for part, first, nodes in ((1, 17, (1, 2)), (2, 0, (3, 4))) for node in nodes for key in range(8)]
+    placed = spark.createDataFrame(rows, "key long, node long, n int, pos int, root long")
+    assert [(r.a, r.b) for r in near_copies.candidates(placed, 0.8).collect()] == [(3, 4)]
