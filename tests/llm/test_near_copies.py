@@ -3,7 +3,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from nearkin.llm import near_copies
+from nearkin.llm import near_copies, simhash
+from nearkin.llm.shared import Workspace
 
 from .conftest import ODD
 
@@ -85,3 +86,45 @@ def test_pairs_that_share_only_late_shingles_are_no_candidates(spark):
     rows = [(100 * part + key, node, 100, key + first, node) for part, first, nodes in ((1, 17, (1, 2)), (2, 0, (3, 4))) for node in nodes for key in range(8)]
     placed = spark.createDataFrame(rows, "key long, node long, n int, pos int, root long")
     assert [(r.a, r.b) for r in near_copies.candidates(placed, 0.8).collect()] == [(3, 4)]
+
+
+def group(seed, rows, length=100):
+    """Copies of one text, each with words of its own: half of them beyond the limit from it."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    found = [(0, " ".join(base))]
+    for i in range(1, rows):
+        words = base.copy()
+        for at in rnd.sample(range(length), rnd.randint(1, 6)):
+            words[at] = f"own{i}x{at}"
+        found.append((i, " ".join(words)))
+    return found
+
+
+def test_pairs_of_a_large_group_grow_with_its_rows(spark, frame):
+    rows = group(3, 300)
+    work = Workspace(spark, "test-group")
+    got = near_copies.near_copies(frame(rows), work=work).select("doc_id", "component_id").collect()
+    want = sorted(slow_near(rows))
+    assert sorted(map(tuple, got)) == want and 50 < sum(c == 0 for _, c in want) < 250
+    assert sum(spark.read.parquet(f"{work.path}/pairs-{turn}").count() for turn in range(near_copies.ROUNDS + 1)) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_crowded_shingles_lose_no_link(frame, monkeypatch, rounds):
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    monkeypatch.setattr(near_copies, "COMMON", 3)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    without_middle = [(i, t) for i, t in group(5, 60, 60) if i]
+    rows = [*changed(4), *((2 * 10**6 + i, t) for i, t in without_middle)]
+    got = near_copies.near_copies(frame(rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(slow_near(rows))
+
+
+def test_components_of_few_links_are_those_of_rounds(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randint(-60, 60), rnd.randint(-60, 60)) for _ in range(50)]
+    work = Workspace(spark, "test-links")
+    links = work.table(spark.createDataFrame(rows, "a long, b long"), "few")
+    want = sorted(map(tuple, simhash.components(links, Workspace(spark, "test-rounds")).collect()))
+    assert want and sorted(map(tuple, near_copies.joined(links, work, "test").collect())) == want
